@@ -170,19 +170,21 @@ def occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Terms over the disclosure threshold: term, kind, disclosure."""
     near = found.select(F.explode("near").alias("x")).select("x.*")
-    # A bitmap of fixed size: 32,768 bits a row, 2**FILTER_BITS in all.
+    by_value = near.groupBy("term", "kind", "value").agg(F.count("*").alias("c"))
+    pairs = materialize(by_value.groupBy("term", "kind").agg(F.sum("c").alias("near"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT), "pairs")
+    # Only terms with that support need counting.  They go to the tasks as a bitmap
+    # of fixed size: 32,768 bits a row, 2**FILTER_BITS in all.
     place = F.col("term").bitwiseAND((1 << FILTER_BITS) - 1)
-    rows = near.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits")).collect()
+    rows = pairs.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits")).collect()
     wanted = np.zeros(1 << FILTER_BITS, bool)
     for r in rows:
         wanted[int(r["block"]) << 15 : (int(r["block"]) + 1) << 15] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
     counts = materialize(occurrences(docs, wanted), "terms")
     words = counts.where("term is null").agg(F.max("n")).first()[0] or 0
-    pairs = near.groupBy("term", "kind", "value").agg(F.count("*").alias("c")).groupBy("term", "kind").agg(F.sum("c").alias("near"), F.count("*").alias("support"))
     kinds = {r["kind"]: r["n"] for r in near.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # at most one row a kind
     share = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(max(kinds.get(k, 0), 1) / max(words, 1)))])[F.col("kind")]
     told = F.log2(F.least(F.col("near") / F.col("n"), F.lit(1.0)) / share) / -F.log2(F.least(share, F.lit(0.999999)))
-    return pairs.where(F.col("support") >= SUPPORT).join(counts, "term").select("term", "kind", told.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
+    return pairs.join(counts, "term").select("term", "kind", told.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
 def scan_personal(docs: DataFrame) -> DataFrame:

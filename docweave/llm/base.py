@@ -51,6 +51,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits (bits >= 15) places, of column p: 32,768 a row, collected as bytes."""
+    p = F.col("p")
+    rows = places.groupBy(F.shiftright(p, 15).alias("b")).agg(F.bitmap_construct_agg(p.bitwiseAND(32767)).alias("bits")).collect()
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in rows:
+        out[int(r["b"]) << 12 : (int(r["b"]) + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
 # ---------------------------------------------------------------- hashing
 
 U64 = np.uint64
@@ -152,11 +162,38 @@ def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray, p: Powers) ->
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def buffers(texts: list[bytes], limit: int = BUFFER_BYTES) -> Iterator[tuple[int, int]]:
+class Texts:
+    """An Arrow string or binary column as bytes, read a slice at a time; null is empty."""
+
+    def __init__(self, column):
+        import pyarrow as pa
+
+        self.column = column.cast(pa.binary()) if column.type in (pa.string(), pa.large_string()) else column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, at: slice) -> list[bytes]:
+        return [b"" if x is None else x for x in self.column[at].to_pylist()]
+
+    def __iter__(self) -> Iterator[bytes]:
+        return (b"" if (b := x.as_py()) is None else b for x in self.column)
+
+    def lengths(self) -> list[int]:
+        import pyarrow.compute as pc
+
+        return pc.fill_null(pc.binary_length(self.column), 0).to_pylist()
+
+
+def utf8(column) -> Texts:
+    return Texts(column)
+
+
+def buffers(texts: Texts | list[bytes], limit: int = BUFFER_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about limit bytes each."""
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        size += len(t)
+    i = size = 0
+    for j, n in enumerate(texts.lengths() if isinstance(texts, Texts) else map(len, texts)):
+        size += n
         if size >= limit:
             yield i, j + 1
             i, size = j + 1, 0
@@ -164,13 +201,6 @@ def buffers(texts: list[bytes], limit: int = BUFFER_BYTES) -> Iterator[tuple[int
         yield i, len(texts)
 
 
-def utf8(column) -> list[bytes]:
-    """An Arrow string column as UTF-8; null is empty."""
-    import pyarrow as pa
-
-    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
-
-
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -133,7 +133,7 @@ def blocks(benchmark: DataFrame) -> list:
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").toArrow()
         if part.num_rows:
-            yield Index(part.column(0).to_pylist(), utf8(part.column(1).combine_chunks()), hasher)
+            yield Index(part.column(0).to_pylist(), list(utf8(part.column(1).combine_chunks())), hasher)
 
 
 RESULT = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long, similarity double"

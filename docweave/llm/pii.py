@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WordHasher, alnum_words, buffers, materialize, read_table, signed, utf8
+from .base import WordHasher, alnum_words, bitmap, buffers, materialize, read_table, signed, utf8
 from .spans import SPAN, digest
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -173,12 +173,9 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     by_value = near.groupBy("term", "kind", "value").agg(F.count("*").alias("c"))
     pairs = materialize(by_value.groupBy("term", "kind").agg(F.sum("c").alias("near"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT), "pairs")
     # Only terms with that support need counting.  They go to the tasks as a bitmap
-    # of fixed size: 32,768 bits a row, 2**FILTER_BITS in all.
+    # of fixed size.
     place = F.col("term").bitwiseAND((1 << FILTER_BITS) - 1)
-    rows = pairs.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits")).collect()
-    wanted = np.zeros(1 << FILTER_BITS, bool)
-    for r in rows:
-        wanted[int(r["block"]) << 15 : (int(r["block"]) + 1) << 15] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+    wanted = np.unpackbits(bitmap(pairs.select(place.alias("p")), FILTER_BITS), bitorder="little").view(bool)
     counts = materialize(occurrences(docs, wanted), "terms")
     words = counts.where("term is null").agg(F.max("n")).first()[0] or 0
     kinds = {r["kind"]: r["n"] for r in near.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # at most one row a kind

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are hashed in buffers of about this many bytes (a longer text alone).
-BUFFER_BYTES = 1 << 20
+BUFFER_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- storage

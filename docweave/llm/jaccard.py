@@ -7,13 +7,16 @@ the largest overlap that its bitmaps and sizes allow is too small, or when all o
 its documents are already linked with each other.  Pairs of leaves that remain are
 compared exactly.
 
-Which documents share a block comes from part signatures.  Sets of similarity t
-differ in at most D = (1-t)/(1+t) (|x|+|y|) shingles; with the shingles dealt by
-hash over more than D parts, at least one part is equal in both.  Documents that
-share a part are joined to one neighbourhood (a connected component); no link
-leaves a neighbourhood.  Neighbourhoods too large for one task are cut into
-blocks, whose documents later visit the other blocks unless they belong to the
-neighbourhood's main component.
+Two steps decide which documents meet in a block.  First, a document whose shingles
+are in no other set, save for more of them than a link allows to differ, can have
+no link and takes no further part; this is done over all documents and, as
+shingles shared with those that left no longer count, again over what is left.
+Second, part signatures: sets of similarity t differ in at most
+D = (1-t)/(1+t) (|x|+|y|) shingles; with the shingles dealt by hash over more than D
+parts, at least one part is equal in both.  Documents that share a part are joined
+to one neighbourhood (a connected component); no link leaves a neighbourhood.
+Neighbourhoods too large for one task are cut into blocks, whose documents later
+visit the other blocks unless they belong to the neighbourhood's main component.
 
 Documents with equal sets are one class; only its smallest id is compared.
 """
@@ -24,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WordHasher, buffers, connected_components, materialize, mix, read_table, signed, space_words, utf8
+from .base import Texts, WordHasher, bitmap, buffers, connected_components, materialize, mix, read_table, signed, space_words, utf8
 
 #: Part signatures that a task holds before it gives them out.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Part signatures of a bucket (about), and shingles of a block.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 BLOCK = 1_000_000
 FILTER_BITS = 24
 FANOUT = 8
@@ -64,7 +67,8 @@ def shingle_sets(texts: list[bytes], k: int, hasher: WordHasher) -> tuple[np.nda
 class Levels:
     """Ranges of set sizes.  A pair is found at the level of its larger set."""
 
-    def __init__(self, percent: int, ratio: float = 1.6, most: int = 1 << 40):
+    def __init__(self, percent: int, most: int = 1 << 40):
+        ratio = max(1.6, 130 / percent)
         starts = [1]
         while starts[-1] < most:
             starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
@@ -172,13 +176,153 @@ def firsts(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[new], doc[new], pairs[:, 0], pairs[:, 1]
 
 
-def neighbourhoods(docs: DataFrame, k: int, percent: int, shingles: int) -> DataFrame:
-    """Edges (src, dst) between ids of docs that share a part.
+def of_texts(k: int):
+    """Reads (doc_id, text, ...) batches as ids, shingle hashes and where each row's begin."""
+    hasher = WordHasher(space_words(), lower=True)
+
+    def read(batch):
+        texts = utf8(batch.column(1))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for i, j in buffers(texts):
+            values, cuts = shingle_sets(texts[i:j], k, hasher)
+            yield ids[i:j], values, cuts
+
+    return read
+
+
+def of_sets(batch):
+    """The same of (doc_id, shingles) batches."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    every = Texts(batch.column(1))
+    for i, j in buffers(every):
+        blobs = every[i:j]
+        cuts = np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs])])
+        yield ids[i:j], np.frombuffer(b"".join(blobs), np.uint64), cuts
+
+
+def may_differ(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of n shingles, at most, a linked set can lack."""
+    return (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+
+
+def survivors(rows: DataFrame, read, percent: int, shingles: int) -> DataFrame:
+    """doc_id of rows that have no more shingles of their own than a link allows.
+
+    Shingles travel packed: for each task and bucket, sorted values and the number of
+    the row in the task.  A bucket's task finds the values that stand once and sends
+    each source the counts by row.  Values are hashes cut to a few bits more than
+    tell the corpus's shingles apart; a clash can only keep a row."""
+    n_buckets = int(max(1, -(-shingles // BUCKET)))
+    bits = min(60, max(24, int(shingles).bit_length() + 5))
+
+    def scan(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        source = TaskContext.get().partitionId() << 24
+        ids, values, owner, n_rows, held = [], [], [], 0, 0
+
+        def flush():
+            doc = np.concatenate(ids)
+            u = np.concatenate(values) >> np.uint64(64 - bits)
+            o = np.concatenate(owner)
+            n = np.bincount(o, minlength=len(doc)).astype(np.int64)
+            # By bucket, then value: one number has both, and a text's own order is not needed.
+            space = (1 << bits) // n_buckets + 1
+            both = (u % np.uint64(n_buckets)) * np.uint64(space) + u // np.uint64(n_buckets)
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            ends = np.searchsorted(both, np.arange(n_buckets + 1).astype(np.uint64) * np.uint64(space))
+            names = ["bucket", "source", "rows", "values", "owners"]
+            for c in range(n_buckets):
+                at = order[ends[c] : ends[c + 1]]
+                if len(at):
+                    steps = np.diff(both[ends[c] : ends[c + 1]], prepend=np.uint64(c * space))
+                    steps = steps.astype(np.uint16 if steps.max() < 1 << 16 else np.uint32 if steps.max() < 1 << 32 else np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([source], pa.int64()), pa.array([len(at)], pa.int32()), pa.array([steps.tobytes()], pa.binary()), pa.array([o[at].tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([source % n_buckets], pa.int32()), pa.array([source], pa.int64()), pa.array([-1], pa.int32()), pa.array([doc.astype(np.int64).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=names)
+
+        for batch in batches:
+            for doc, v, cuts in read(batch):
+                for i in range(0, len(doc), 1 << 15):
+                    j = min(len(doc), i + (1 << 15))
+                    if n_rows + j - i > 1 << 16 or held >= HELD:
+                        yield from flush()
+                        source, n_rows, held = source + 1, 0, 0
+                        ids, values, owner = [], [], []
+                    ids.append(doc[i:j])
+                    values.append(v[cuts[i] : cuts[j]])
+                    owner.append(np.repeat(np.arange(n_rows, n_rows + j - i).astype(np.uint16), np.diff(cuts[i : j + 1])))
+                    n_rows, held = n_rows + j - i, held + int(cuts[j] - cuts[i])
+        if n_rows:
+            yield from flush()
+
+    def once(batches):
+        import pyarrow as pa
+
+        names = ["source", "kind", "a", "b"]
+        now, parts = None, []
+
+        def bucket_done():
+            value = np.concatenate([p[1] for p in parts])
+            order = np.argsort(value, kind="stable")
+            v = value[order]
+            same = np.zeros(len(v) + 1, bool)
+            same[1:-1] = v[1:] == v[:-1]
+            alone = np.sort(order[~(same[1:] | same[:-1])])
+            ends = np.cumsum([0] + [len(p[1]) for p in parts])
+            cuts = np.searchsorted(alone, ends)
+            for k, (source, _, owners) in enumerate(parts):
+                row, n = np.unique(owners[alone[cuts[k] : cuts[k + 1]] - ends[k]], return_counts=True)
+                if len(row):
+                    n = n.astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array([source], pa.int64()), pa.array([1], pa.int32()), pa.array([row.tobytes()], pa.binary()), pa.array([(n.astype(np.uint8) if n.max() < 256 else n).tobytes()], pa.binary())], names=names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, source, rows, values, owners = (x[i].as_py() for x in batch.columns)
+                if rows < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([source], pa.int64()), pa.array([0], pa.int32()), pa.array([values], pa.binary()), pa.array([owners], pa.binary())], names=names)
+                    continue
+                if c != now:
+                    if parts:
+                        yield from bucket_done()
+                    now, parts = c, []
+                steps = np.frombuffer(values, {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(values) // rows])
+                parts.append((source, np.cumsum(steps, dtype=np.int64), np.frombuffer(owners, np.uint16)))
+        if parts:
+            yield from bucket_done()
+
+    def judge(batches):
+        import pyarrow as pa
+
+        docs: dict[int, tuple] = {}
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for source, kind, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if not kind:
+                    docs[source] = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                    continue
+                row = np.frombuffer(a, np.uint16).astype(np.int64)
+                counts = np.frombuffer(b, np.uint8 if len(b) == len(row) else np.uint32)
+                own.setdefault(source, np.zeros(1 << 16, np.int64))[row] += counts
+        for source, (ids, n) in docs.items():
+            lone = own.get(source, np.zeros(1 << 16, np.int64))[: len(ids)]
+            keep = (n > 0) & (lone <= may_differ(n, percent))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep])], names=["doc_id"])
+
+    parts = rows.mapInArrow(scan, "bucket int, source long, rows int, values binary, owners binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    counts = parts.mapInArrow(once, "source long, kind int, a binary, b binary").repartition("source")
+    return materialize(counts.mapInArrow(judge, "doc_id long").distinct(), "survivors")
+
+
+def neighbourhoods(sets: DataFrame, percent: int, shingles: int) -> DataFrame:
+    """Edges (src, dst) between ids of sets (doc_id, shingles) that share a part.
 
     A task gives out each of its signatures once, with the smallest id, beside a
     forest of the ids that share one; so a signature that very many documents have
     adds at most a row for each task.  They travel packed, in buckets of bounded size."""
-    hasher, levels = WordHasher(space_words(), lower=True), Levels(percent)
+    levels = Levels(percent)
     n_buckets = int(max(1, -(-shingles // BUCKET)))
 
     def scan(batches):
@@ -188,8 +332,6 @@ def neighbourhoods(docs: DataFrame, k: int, percent: int, shingles: int) -> Data
 
         def flush():
             sig, doc, a, b = firsts(np.concatenate(sigs), np.concatenate(ids))
-            sigs.clear()
-            ids.clear()
             forest = Union()
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 forest.join(x, y)
@@ -204,15 +346,14 @@ def neighbourhoods(docs: DataFrame, k: int, percent: int, shingles: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (sig[at], doc[at], src[mine], dst[mine]))], names=names)
 
         for batch in batches:
-            doc, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
-            for i, j in buffers(texts):
-                sig, owner = signatures(*shingle_sets(texts[i:j], k, hasher), levels)
+            for doc, values, cuts in of_sets(batch):
+                sig, owner = signatures(values, cuts, levels)
                 sigs.append(sig)
-                ids.append(doc[i + owner])
+                ids.append(doc[owner])
                 held += len(sig)
                 if held >= HELD:
                     yield from flush()
-                    held = 0
+                    sigs, ids, held = [], [], 0
         if sigs:
             yield from flush()
 
@@ -234,7 +375,7 @@ def neighbourhoods(docs: DataFrame, k: int, percent: int, shingles: int) -> Data
         for i in range(0, len(src), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(src[i : i + 50_000]), pa.array(dst[i : i + 50_000])], names=["src", "dst"])
 
-    dealt = docs.mapInArrow(scan, "bucket int, sig binary, doc binary, src binary, dst binary").repartition(n_buckets, "bucket")
+    dealt = sets.select("doc_id", "shingles").mapInArrow(scan, "bucket int, sig binary, doc binary, src binary, dst binary").repartition(n_buckets, "bucket")
     return dealt.mapInArrow(gather, "src long, dst long")
 
 
@@ -403,12 +544,7 @@ def tree_links(members: DataFrame, percent: int) -> DataFrame:
 
 def marked(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size over a hash of the ids: what is not in it is not in ids."""
-    place = F.xxhash64("doc_id").bitwiseAND((1 << FILTER_BITS) - 1)
-    rows = ids.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits")).collect()
-    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    for r in rows:
-        out[int(r["b"]) << 12 : (int(r["b"]) + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+    return bitmap(ids.select(F.xxhash64("doc_id").bitwiseAND((1 << FILTER_BITS) - 1).alias("p")), FILTER_BITS)
 
 
 def has_mark(sent, places: np.ndarray) -> np.ndarray:
@@ -416,23 +552,52 @@ def has_mark(sent, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
 
 
+def placed(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a last column: each id's place in a bitmap of `marked`."""
+    name = "_place"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64(F.col(id_column).cast("long")).bitwiseAND((1 << FILTER_BITS) - 1)), name
+
+
+def side(sent, on_it: bool):
+    """Rows with, or without, a mark, less their last column."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            hit = has_mark(sent.value, batch.column(batch.num_columns - 1).to_numpy())
+            batch = batch.filter(pa.array(hit == on_it))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+
+    return run
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in ids.  Rows without a mark stay as they are; only the others need the join."""
+    sent = docs.sparkSession.sparkContext.broadcast(marked(ids).tobytes())
+    rows, name = placed(docs)
+    free, rest = (rows.mapInArrow(side(sent, m), docs.schema) for m in (False, True))
+    gone = ids.select(F.col("doc_id").alias(name))
+    return free.unionByName(rest.join(gone, rest["doc_id"] == gone[name], "left_anti"))
+
+
 def wanted_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id and sorted shingle hashes of docs that may be in ids."""
+    """doc_id and sorted shingle hashes of docs (doc_id, text) in ids."""
     sent = docs.sparkSession.sparkContext.broadcast(marked(ids).tobytes())
-    hasher = WordHasher(space_words(), lower=True)
+    read = of_texts(k)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             batch = batch.filter(pa.array(has_mark(sent.value, batch.column(2).to_numpy())))
-            texts = utf8(batch.column(1))
-            for i, j in buffers(texts):
-                values, cuts = shingle_sets(texts[i:j], k, hasher)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+            for doc, values, cuts in read(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
-    place = F.xxhash64("doc_id").bitwiseAND((1 << FILTER_BITS) - 1)
-    return docs.select("doc_id", "text", place.alias("p")).mapInArrow(run, "doc_id long, shingles binary")
+    found = placed(docs)[0].mapInArrow(run, "doc_id long, shingles binary")
+    return found.join(ids, "doc_id", "left_semi").where(F.octet_length("shingles") > 0)
 
 
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -450,25 +615,34 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     known = sets.where("doc_id is not null and n > 0")
     with_rep = known.join(materialize(known.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep")), "classes"), ["n", "f", "g"])
     with_rep = materialize(with_rep.select("doc_id", "n", "rep").distinct(), "members")
-    copies = with_rep.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    shingles = known.agg(F.sum("n")).first()[0] or 0
+    copies = materialize(with_rep.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")), "same")
+    alone = copies.select(F.col("src").alias("doc_id")).join(with_rep.where("doc_id = rep").select("doc_id"), "doc_id", "left_anti").distinct()
+    alone = materialize(alone, "not-first")
     named = docs.where("doc_id is not null")
-    near = connected_components(neighbourhoods(named, k, percent, shingles))
-    reps = with_rep.where("doc_id = rep").groupBy("doc_id").agg(F.max("n").alias("n"))
-    near = materialize(near.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "comp").join(reps, "doc_id"), "near")
-    size = materialize(near.groupBy("comp").agg(F.count("*").alias("docs"), F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("docs > 1"), "sizes")
-    info = near.join(size, "comp").select("doc_id", "comp", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
-    info = materialize(info, "info")
-    filled = wanted_sets(named, info.select("doc_id"), k).dropDuplicates(["doc_id", "shingles"]).join(info, "doc_id")
-    payload = materialize(filled, "payload")
+    shingles = known.agg(F.sum("n")).first()[0] or 0
+    near = survivors(named, of_texts(k), percent, shingles).join(alone, "doc_id", "left_anti")
+    payload = materialize(wanted_sets(named, near, k), "payload")
+    for _ in range(2):
+        near = survivors(payload, of_sets, percent, max(1, total(payload)))
+        payload = materialize(payload.join(near, "doc_id", "left_semi"), "payload")
+    near = connected_components(neighbourhoods(payload, percent, max(1, total(payload))))
+    payload = payload.join(near.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "comp"), "doc_id")
+    payload = materialize(payload, "placed")
+    size = payload.groupBy("comp").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / BLOCK).alias("blocks"))
+    payload = payload.join(materialize(size, "sizes"), "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     links = tree_links(payload.select("comp", "block", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("home"), "shingles"), percent)
     links = materialize(links, "links")
-    if size.where("blocks > 1").limit(1).count():
-        links = links.unionByName(across_blocks(payload.where("blocks > 1"), links, percent))
+    large = payload.where("blocks > 1")
+    if large.limit(1).count():
+        links = links.unionByName(across_blocks(large, links, percent))
     joined = connected_components(links.unionByName(copies))
     return sets.join(joined, sets["doc_id"] == joined["id"], "left").select(sets["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component", sets["doc_id"]).alias("component_id"))
 
 
+def total(payload: DataFrame) -> int:
+    return int(payload.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
+
+
 def across_blocks(payload: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between documents of different blocks of a neighbourhood.
 
@@ -487,28 +661,7 @@ def across_blocks(payload: DataFrame, links: DataFrame, percent: int) -> DataFra
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs but those whose component has a smaller id; all columns stay."""
     found = similarity_components(docs, k, percent)
-    drop = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    sent = docs.sparkSession.sparkContext.broadcast(marked(drop).tobytes())
-
-    def side(marked_ones: bool):
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                hit = has_mark(sent.value, batch.column(batch.num_columns - 1).to_numpy())
-                batch = batch.filter(pa.array(hit == marked_ones))
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
-
-        return run
-
-    name = "_place"
-    while name in docs.columns:
-        name += "_"
-    placed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long").alias("doc_id")).bitwiseAND((1 << FILTER_BITS) - 1))
-    # Rows without a mark stay as they are; only the others need the exact join.
-    free, rest = (placed.mapInArrow(side(m), docs.schema) for m in (False, True))
-    gone = drop.withColumnRenamed("doc_id", name)
-    return free.unionByName(rest.join(gone, rest["doc_id"] == gone[name], "left_anti"))
+    return without(docs, materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ PATH = "mh long, ch long, doc_id long, key long, start int, n int, edges binary"
 
 
 def repeated_paths(docs: DataFrame, common: DataFrame, window: int) -> DataFrame:
-    """Paths whose minimiser is in common."""
+    """Paths whose minimiser may be in common: a path that only shares its place in the bitmap is alone and comes to nothing."""
     hasher = WordHasher(space_words())
     size = 1 << FILTER_BITS
     places = common.select(F.col("mh").bitwiseAND(size - 1).alias("p"))
@@ -125,8 +125,23 @@ def repeated_paths(docs: DataFrame, common: DataFrame, window: int) -> DataFrame
                 which = pa.array(row[keep] + i)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(mh[keep])), pa.array(signed(ch[keep])), batch.column(0).take(which), batch.column(1).take(which), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(blobs, pa.binary())], names=[c.split()[0] for c in PATH.split(", ")])
 
-    found = docs.select("doc_id", "key", "text").mapInArrow(run, PATH)
-    return materialize(found.join(common, "mh").select(*[c.split()[0] for c in PATH.split(", ")]), "paths")
+    return materialize(docs.select("doc_id", "key", "text").mapInArrow(run, PATH), "paths")
+
+
+def on_bitmap(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose first column may be in column of keys."""
+    size = 1 << FILTER_BITS
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.col(column).bitwiseAND(size - 1).alias("p")), FILTER_BITS).tobytes())
+
+    def run(batches):
+        import pyarrow as pa
+
+        bits = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            p = batch.column(0).to_numpy() & (size - 1)
+            yield batch.filter(pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def explode_edges(batches):
@@ -155,7 +170,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     branching = materialize(compact.groupBy("mh").agg(F.count("*").alias("paths")).where("paths > 1").select("mh"), "branching")
     split = compact.join(branching, "mh").select("mh", "ch", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
     split = materialize(split, "split")
-    edges = paths.join(split, ["mh", "ch", "doc_id", "start"]).dropDuplicates(["mh", "ch"]).select("mh", "ch", "doc_id", "start", "edges")
+    edges = on_bitmap(paths.select("mh", "ch", "doc_id", "start", "edges"), branching, "mh").join(split, ["mh", "ch", "doc_id", "start"]).dropDuplicates(["mh", "ch"]).select("mh", "ch", "doc_id", "start", "edges")
     edges = materialize(edges.mapInArrow(explode_edges, "mh long, edge long, ch long, offset int, doc_id long, at long"), "edges")
     earliest = materialize(edges.groupBy("mh", "edge").agg(F.min(F.struct("doc_id", "at")).alias("e"), F.count("*").alias("c")).where("c > 1").drop("c"), "earliest")
     later = edges.join(earliest, ["mh", "edge"]).where(F.struct("doc_id", "at") > F.col("e"))
@@ -179,36 +194,6 @@ def covered(n_words: int, starts: np.ndarray, flags: np.ndarray, window: int) ->
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) with lists of the starts and flags of its repeated windows (null: none)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    found = repeats(rows.where("doc_id is not null and text is not null"), window)
-    lists = found.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("flags").alias("flags"))
-    lists = materialize(lists, "lists").select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "starts", "flags")
-    # Rows whose id is not in a bitmap of fixed size have no repeats; only the others need the join.
-    place = F.xxhash64("doc_id").bitwiseAND((1 << ID_BITS) - 1)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(lists.select(F.xxhash64("r_id").bitwiseAND((1 << ID_BITS) - 1).alias("p")), ID_BITS).tobytes())
-
-    def side(on_it: bool):
-        def run(batches):
-            import pyarrow as pa
-
-            bits = np.frombuffer(sent.value, np.uint8)
-            for batch in batches:
-                p = batch.column(3).to_numpy()
-                hit = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                batch = batch.filter(pa.array(hit == on_it))
-                yield pa.RecordBatch.from_arrays(batch.columns[:3], names=batch.schema.names[:3])
-
-        return run
-
-    placed = rows.withColumn("p", place)
-    free, rest = (placed.mapInArrow(side(m), "doc_id long, key long, text string") for m in (False, True))
-    none = [F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<long>").alias("flags")]
-    same = (F.col("doc_id") == F.col("r_id")) & (F.col("key") == F.col("r_key"))
-    return free.select("doc_id", "text", *none).unionByName(rest.join(lists, same, "left").select("doc_id", "text", "starts", "flags"))
-
-
 def kept_words(text: bytes, starts, flags, window: int) -> tuple[int, list[bytes]]:
     """The number of words, and those that stay."""
     words = text.split()  # of bytes: exactly space and \x09-\x0d
@@ -231,16 +216,49 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
-    def run(batches):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    found = repeats(rows.where("doc_id is not null and text is not null"), window)
+    lists = found.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("flags").alias("flags"))
+    lists = materialize(lists.select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "starts", "flags"), "lists")
+    # Rows whose id is not in a bitmap of fixed size have no repeats; only the others need the join.
+    place = F.xxhash64("doc_id").bitwiseAND((1 << ID_BITS) - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(lists.select(F.xxhash64("r_id").bitwiseAND((1 << ID_BITS) - 1).alias("p")), ID_BITS).tobytes())
+    result = f"doc_id long, n_words long, n_removed long, {column}"
+
+    def marked(batch):
+        bits = np.frombuffer(sent.value, np.uint8)
+        p = batch.column(3).to_numpy()
+        return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+    def to_join(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = [kept_words(t, s, f, window) for t, s, f in zip(utf8(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(k) for n, k in rows], pa.int64()), pa.array([of(b" ".join(k)) for _, k in rows], pa.string())], names=["doc_id", "n_words", "n_removed", column.split()[0]])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(marked(batch))) for c in batch.columns[:3]], names=batch.schema.names[:3])
 
-    return with_repeats(docs, window).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column}")
+    def rows_of(ids, texts, starts, flags):
+        import pyarrow as pa
+
+        for at in range(0, len(ids), 500):
+            part = [x[at : at + 500] for x in (texts, starts, flags)]
+            kept = [kept_words(b"" if t is None else t.encode(), s, f, window) for t, s, f in zip(*(x.to_pylist() for x in part), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids[at : at + 500], pa.array([n for n, _ in kept], pa.int64()), pa.array([n - len(k) for n, k in kept], pa.int64()), pa.array([of(b" ".join(k)) for _, k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", column.split()[0]])
+
+    def alone(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, texts = (batch.column(k).filter(pa.array(~marked(batch))) for k in (0, 2))
+            yield from rows_of(ids, texts, pa.nulls(len(ids)), pa.nulls(len(ids)))
+
+    def cut(batches):
+        for batch in batches:
+            yield from rows_of(*batch.columns)
+
+    placed = rows.withColumn("p", place)
+    same = (F.col("doc_id") == F.col("r_id")) & (F.col("key") == F.col("r_key"))
+    joined = placed.mapInArrow(to_join, "doc_id long, key long, text string").join(lists, same, "left").select("doc_id", "text", "starts", "flags")
+    return placed.mapInArrow(alone, result).unionByName(joined.mapInArrow(cut, result))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

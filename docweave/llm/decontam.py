@@ -74,23 +74,22 @@ class Index:
 
 
 def longest_span(same: np.ndarray) -> tuple[int, int]:
-    """The longest [a, b) with at least SIMILARITY of same set, without unequal ends."""
-    gain = np.where(same, 1 - SIMILARITY, -SIMILARITY)
-    sums = np.concatenate([[0.0], np.cumsum(gain)]).round(9)
-    low = np.minimum.accumulate(sums)
-    high = np.maximum.accumulate(sums[::-1])[::-1]
+    """The longest [a, b) with at least SIMILARITY of same set, both ends among them."""
+    n = len(same)
+    sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - SIMILARITY, -SIMILARITY))]).round(9)
+    low = np.minimum.accumulate(np.where(same, sums[:n], np.inf))  # of starts up to a
+    high = np.maximum.accumulate(np.where(same, sums[1:], -np.inf)[::-1])[::-1]  # of ends from b on, b - 1 here
     a = b = best_a = best_b = 0
-    while b < len(sums):
+    while b < n:
         if high[b] >= low[a]:
-            if b - a > best_b - best_a:
-                best_a, best_b = a, b
+            if b + 1 - a > best_b - best_a:
+                best_a, best_b = a, b + 1
             b += 1
-        else:
+        elif a < n - 1:
             a += 1
-    while best_a < best_b and not same[best_a]:
-        best_a += 1
-    while best_b > best_a and not same[best_b - 1]:
-        best_b -= 1
+            b = max(a, b)
+        else:
+            break
     return best_a, best_b
 
 

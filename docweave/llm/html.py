@@ -119,7 +119,7 @@ def measure(page: Page) -> tuple[list[Node], np.ndarray, list[int]]:
             ]
         )
         kept.append(i)
-    return [page.nodes[i] for i in kept], np.array(rows, float).reshape(len(rows), -1), [chars[i] for i in kept]
+    return [page.nodes[i] for i in kept], np.array(rows, float) if rows else np.zeros((0, 1)), [chars[i] for i in kept]
 
 
 def decode(page: Page, nodes: list[Node], sizes: list[int], all_in: np.ndarray, all_out: np.ndarray) -> list[int]:

@@ -104,18 +104,23 @@ class Fields:
 
     def predicate(self, f: Filter, missing_differs: bool = False) -> Column:
         """The filter as a Column that is true or false."""
+        return F.coalesce(self.test(f, missing_differs), F.lit(False))
+
+    def test(self, f: Filter, missing_differs: bool = False) -> Column:
+        """The filter as a Column that is true where it matches, else false or null: in this form it is pushed into scans."""
         if not f.valid():
             raise InvalidQuery(f"bad filter {f}")
         if f.op == "in":
-            return reduce(lambda a, b: a | b, [self.predicate(Filter(f.field, "==", v)) for v in _grouped(f.value)], F.lit(False)) if not _same_kind(f.value) else F.coalesce(self.typed(f.field, kind_of(f.value[0])).isin(list(f.value)), F.lit(False))
+            if _same_kind(f.value):
+                return self.typed(f.field, kind_of(f.value[0])).isin(list(f.value))
+            return reduce(lambda a, b: a | b, [self.predicate(Filter(f.field, "==", v)) for v in f.value], F.lit(False))
         if f.op == "contains":
             column, t = self.column(f.field)
             if isinstance(t, T.VariantType):
-                item = "double" if kind_of(f.value) == "number" else SPARK_TYPE[kind_of(f.value)]
-                return F.coalesce(F.array_contains(F.try_variant_get(column, "$." + f.field, f"array<{item}>"), f.value), F.lit(False))
+                return F.array_contains(F.try_variant_get(column, "$." + f.field, f"array<{SPARK_TYPE[kind_of(f.value)]}>"), f.value)
             if column is None or type_kind(t) != "list" or type_kind(t.elementType) != kind_of(f.value):
                 return F.lit(False)
-            return F.coalesce(F.array_contains(column, f.value), F.lit(False))
+            return F.array_contains(column, f.value)
         kind = kind_of(f.value)
         if kind == "null":
             null = self.is_null(f.field)
@@ -124,10 +129,10 @@ class Fields:
             raise InvalidQuery("only `in` takes a list")
         x, v = self.typed(f.field, kind), F.lit(f.value)
         found = {"==": x == v, "!=": x != v, ">": x > v, ">=": x >= v, "<": x < v, "<=": x <= v}[f.op]
-        return F.coalesce(found, F.lit(f.op == "!=" and missing_differs))
+        return F.coalesce(found, F.lit(True)) if f.op == "!=" and missing_differs else found
 
     def all(self, filters) -> Column | None:
-        found = [self.predicate(f) for f in filters]
+        found = [self.test(f) for f in filters]
         return reduce(lambda a, b: a & b, found) if found else None
 
 
@@ -135,10 +140,6 @@ def _same_kind(values) -> bool:
     return len(values) > 0 and len({kind_of(v) for v in values}) == 1 and kind_of(values[0]) in SPARK_TYPE
 
 
-def _grouped(values) -> list:
-    return list(dict.fromkeys(values))
-
-
 def after(keys: list[tuple[Column, str, Any]]) -> Column:
     """Rows that follow a cursor: keys are (column, asc or desc, the cursor's value).
 

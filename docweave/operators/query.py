@@ -113,7 +113,7 @@ def delete_where(docs: DataFrame, q: Query, now: int) -> DataFrame:
 def matches(docs: DataFrame, q: Query) -> Column:
     p = Fields(docs).all(q.validate().filters)
     hit = (F.col("database") == q.database) & (F.col("collection") == q.collection) & ~F.col("deleted")
-    return hit if p is None else hit & p
+    return hit if p is None else hit & F.coalesce(p, F.lit(False))
 
 
 def collections(docs: DataFrame) -> DataFrame:

@@ -44,7 +44,18 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docweave_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of materialized frames that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_docweave_path", None):
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -248,13 +259,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         for large in (True, False):
             both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
             if large:  # every larger neighbour of u is linked to u's smallest neighbour
-                low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
-                e = both.join(materialize(low, "low"), "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+                low = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m")), "low")
+                new = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
             else:  # u and its smaller neighbours are linked to the smallest of them
                 down = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
                 low = materialize(down.groupBy("src").agg(F.min("dst").alias("m")), "low")
-                e = down.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(low.select("src", F.col("m").alias("dst")))
-            e = materialize(e.where("src <> dst").distinct(), "edges")
+                new = down.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(low.select("src", F.col("m").alias("dst")))
+            new = materialize(new.where("src <> dst").distinct(), "edges")
+            discard(e, low)
+            e = new
         now = e.agg(F.count("*"), F.sum("src"), F.sum("dst"), F.sum(F.hash("src", "dst").cast("long"))).first()
         if now == before:
             break

@@ -7,16 +7,14 @@ the largest overlap that its bitmaps and sizes allow is too small, or when all o
 its documents are already linked with each other.  Pairs of leaves that remain are
 compared exactly.
 
-Two steps decide which documents meet in a block.  First, a document whose shingles
-are in no other set, save for more of them than a link allows to differ, can have
-no link and takes no further part; this is done over all documents and, as
-shingles shared with those that left no longer count, again over what is left.
-Second, part signatures: sets of similarity t differ in at most
-D = (1-t)/(1+t) (|x|+|y|) shingles; with the shingles dealt by hash over more than D
-parts, at least one part is equal in both.  Documents that share a part are joined
-to one neighbourhood (a connected component); no link leaves a neighbourhood.
-Neighbourhoods too large for one task are cut into blocks, whose documents later
-visit the other blocks unless they belong to the neighbourhood's main component.
+Two exact counts over packed shingles decide which documents meet.  First, a
+document with more shingles of its own than a link allows to differ can have no link
+and takes no further part; this is done over all documents and, as shingles shared
+with those that left no longer count, again over what is left.  The rest is put into
+blocks, likely partners together: which document is where changes the work, not the
+links.  Second, after each block's tree is traversed with itself, a document visits
+every other block that holds as many of its shingles as a link needs, and is
+traversed against that block's tree.
 
 Documents with equal sets are one class; only its smallest id is compared.
 """
@@ -27,13 +25,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Texts, WordHasher, bitmap, buffers, connected_components, materialize, mix, read_table, signed, space_words, utf8
+from .base import Texts, WordHasher, bitmap, buffers, connected_components, discard, materialize, mix, read_table, signed, space_words, utf8
 
-#: Part signatures that a task holds before it gives them out.
+#: Shingles that a task holds before it gives them out, of a bucket (about), of a block (about).
 HELD = 1_000_000
-#: Part signatures of a bucket (about), and shingles of a block.
 BUCKET = 1_000_000
-BLOCK = 1_000_000
+BLOCK = 2_000_000
+#: Minimum hashes of a band, and bands: documents that share a band are put into one block.
+ROWS, BANDS = 3, 8
+#: A shingle of more blocks counts for every block, which can only add a visit.
+SPREAD = 16
 FILTER_BITS = 24
 FANOUT = 8
 
@@ -64,63 +65,6 @@ def shingle_sets(texts: list[bytes], k: int, hasher: WordHasher) -> tuple[np.nda
     return values, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-class Levels:
-    """Ranges of set sizes.  A pair is found at the level of its larger set."""
-
-    def __init__(self, percent: int, most: int = 1 << 40):
-        ratio = max(1.6, 130 / percent)
-        starts = [1]
-        while starts[-1] < most:
-            starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
-        self.starts = np.array(starts)
-        self.percent = percent
-        largest = self.starts[1:] - 1
-        self.differ = 2 * largest * (100 - percent) // (100 + percent)
-        self.parts = self.differ + 1 + -(-self.differ // 64)
-        assert (100 * largest[:-1] // percent < self.starts[2:]).all()
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, sizes, "right") - 1
-
-
-def signatures(values: np.ndarray, cuts: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """Part signatures, and the number of the text of each."""
-    sizes = np.diff(cuts)
-    out, owners = [], []
-    mixed = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    for above in (0, 1):
-        level = levels.of(sizes) + above
-        use = sizes > 0
-        if above:
-            use &= 100 * sizes // levels.percent >= levels.starts[level]
-        picked = np.flatnonzero(use)
-        if not len(picked):
-            continue
-        n = sizes[picked]
-        doc = np.repeat(picked, n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(cuts[picked], n)
-        m = levels.parts[level[doc]].astype(np.uint64)
-        part = ((values[at] >> np.uint64(32)) * m) >> np.uint64(32)  # ascends with the hash
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
-        sums = np.add.reduceat(mixed[at], new)
-        doc, part = doc[new], part[new]
-        out.append(sign(sums, part, level[doc]))
-        owners.append(doc)
-        # A text with too few filled parts gives its empty ones too (the other text of a pair then has them, or enough filled ones).
-        filled = np.bincount(doc, minlength=len(sizes))
-        for d in picked[filled[picked] <= levels.differ[level[picked]]].tolist():
-            empty = np.setdiff1d(np.arange(levels.parts[level[d]], dtype=np.uint64), part[doc == d])
-            out.append(sign(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), level[d])))
-            owners.append(np.full(len(empty), d))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(owners)
-
-
-def sign(sums: np.ndarray, part: np.ndarray, level: np.ndarray) -> np.ndarray:
-    return mix(mix(sums + part * np.uint64(0x9E3779B97F4A7C15)) + level.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n and two fingerprints of each row's set."""
     hasher = WordHasher(space_words(), lower=True)
@@ -139,7 +83,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, f long, g long")
 
 
-# ------------------------------------------------------ neighbourhoods
+# ------------------------------------------------------ who meets whom
 
 
 class Union:
@@ -164,18 +108,6 @@ class Union:
         return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
 
 
-def firsts(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature with its smallest document; and different pairs of a document and the smallest that shares a signature."""
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    low = doc[new][np.cumsum(new) - 1]
-    other = low != doc
-    pairs = np.unique(np.stack([doc[other], low[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sig[new], doc[new], pairs[:, 0], pairs[:, 1]
-
-
 def of_texts(k: int):
     """Reads (doc_id, text, ...) batches as ids, shingle hashes and where each row's begin."""
     hasher = WordHasher(space_words(), lower=True)
@@ -316,67 +248,169 @@ def survivors(rows: DataFrame, read, percent: int, shingles: int) -> DataFrame:
     return materialize(counts.mapInArrow(judge, "doc_id long").distinct(), "survivors")
 
 
-def neighbourhoods(sets: DataFrame, percent: int, shingles: int) -> DataFrame:
-    """Edges (src, dst) between ids of sets (doc_id, shingles) that share a part.
+def banded(sets: DataFrame) -> DataFrame:
+    """Edges (src, dst) between ids of sets (doc_id, shingles) that share a band of minimum hashes."""
 
-    A task gives out each of its signatures once, with the smallest id, beside a
-    forest of the ids that share one; so a signature that very many documents have
-    adds at most a row for each task.  They travel packed, in buckets of bounded size."""
-    levels = Levels(percent)
-    n_buckets = int(max(1, -(-shingles // BUCKET)))
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, values, cuts in of_sets(batch):
+                for b in range(BANDS):
+                    sig = np.full(len(doc), b, np.uint64)
+                    for r in range(ROWS):
+                        low = np.minimum.reduceat(mix(values ^ np.uint64(0x9E3779B97F4A7C15 * (b * ROWS + r + 1) % 2**64)), cuts[:-1])
+                        sig = mix(sig * np.uint64(31) + low)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(doc.astype(np.int64))], names=["sig", "doc_id"])
+
+    found = materialize(sets.select("doc_id", "shingles").mapInArrow(run, "sig long, doc_id long").distinct(), "bands")
+    low = materialize(found.groupBy("sig").agg(F.min("doc_id").alias("dst"), F.count("*").alias("c")).where("c > 1").drop("c"), "band-lows")
+    return found.join(low, "sig").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct()
+
+
+def in_blocks(payload: DataFrame) -> DataFrame:
+    """payload (doc_id, shingles) with its block, from 0; groups of likely partners stay together up to a block's size."""
+    blocks = max(1, -(-total(payload) * 4 // (3 * BLOCK)))
+    groups = connected_components(banded(payload))
+    rows = payload.join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", "shingles", F.coalesce("component", "doc_id").alias("g"))
+    rows = grouped = materialize(rows, "grouped")
+    size = rows.groupBy("g").agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / BLOCK).alias("cut"))
+    rows = rows.join(materialize(size.where("cut > 1"), "large-groups"), "g", "left")
+    sub = F.pmod(F.xxhash64("doc_id"), F.coalesce("cut", F.lit(1)))
+    block = F.pmod(F.xxhash64("g", sub), F.lit(blocks))
+    out = materialize(rows.select(block.alias("block"), "doc_id", "shingles"), "blocks")
+    discard(grouped)
+    return out
+
+
+def routes(homes: DataFrame, percent: int) -> DataFrame:
+    """doc_id, to: the other blocks that hold as many of a row's shingles as a link needs.
+
+    Shingles travel as in `survivors`, with the blocks of their rows."""
+    shingles = total(homes)
+    blocks = max(1, -(-shingles * 4 // (3 * BLOCK)))
+    n_buckets = int(max(1, -(-shingles // (2 * BUCKET))))  # fewer buckets, fewer partial counts
+    bits = min(60, max(24, int(shingles).bit_length() + 5))
+    wide = np.int64 if blocks << 16 >= 1 << 31 else np.int32
+    names = ["bucket", "source", "rows", "values", "owners", "homes"]
 
     def scan(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        sigs, ids, held = [], [], 0
+        source = TaskContext.get().partitionId() << 24
+        ids, values, owner, home, n_rows, held = [], [], [], [], 0, 0
 
         def flush():
-            sig, doc, a, b = firsts(np.concatenate(sigs), np.concatenate(ids))
-            forest = Union()
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                forest.join(x, y)
-            bucket = (sig % np.uint64(n_buckets)).astype(np.int64)
+            doc, at_home = np.concatenate(ids), np.concatenate(home).astype(np.int32)
+            u, o = np.concatenate(values) >> np.uint64(64 - bits), np.concatenate(owner)
+            bucket = (u % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            src, dst = forest.edges()
             for c in range(n_buckets):
                 at = order[ends[c] : ends[c + 1]]
-                mine = slice(c, None, n_buckets)
-                names = ["bucket", "sig", "doc", "src", "dst"]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (sig[at], doc[at], src[mine], dst[mine]))], names=names)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([source], pa.int64()), pa.array([len(at)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (u[at], o[at], at_home))], names=names)
+            n = np.bincount(o, minlength=len(doc)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([source % n_buckets], pa.int32()), pa.array([source], pa.int64()), pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc.astype(np.int64), n, at_home))], names=names)
 
         for batch in batches:
-            for doc, values, cuts in of_sets(batch):
-                sig, owner = signatures(values, cuts, levels)
-                sigs.append(sig)
-                ids.append(doc[owner])
-                held += len(sig)
-                if held >= HELD:
+            block = batch.column(2).to_numpy()
+            done = 0
+            for doc, v, cuts in of_sets(batch):
+                if n_rows and (n_rows + len(doc) > 1 << 16 or held >= HELD):
                     yield from flush()
-                    sigs, ids, held = [], [], 0
-        if sigs:
+                    source, n_rows, held = source + 1, 0, 0
+                    ids, values, owner, home = [], [], [], []
+                ids.append(doc)
+                values.append(v)
+                owner.append(np.repeat(np.arange(n_rows, n_rows + len(doc)).astype(np.uint16), np.diff(cuts)))
+                home.append(block[done : done + len(doc)])
+                done, n_rows, held = done + len(doc), n_rows + len(doc), held + len(v)
+        if n_rows:
             yield from flush()
 
-    def gather(batches):
+    def meet(batches):
+        import pyarrow as pa
+
+        out = ["source", "kind", "a", "b", "c"]
+        now, parts = None, []
+
+        def row(source, kind, *arrays):
+            return pa.RecordBatch.from_arrays([pa.array([source], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in arrays)], names=out)
+
+        def bucket_done():
+            value = np.concatenate([p[1] for p in parts])
+            home = np.concatenate([p[3][p[2]] for p in parts]).astype(np.int64)
+            who = np.concatenate([(k << 16) + p[2].astype(np.int64) for k, p in enumerate(parts)])
+            order = np.lexsort((home, value))
+            value, home, who = value[order], home[order], who[order]
+            first = np.ones(len(value), bool)
+            first[1:] = value[1:] != value[:-1]
+            pair = first.copy()
+            pair[1:] |= home[1:] != home[:-1]
+            at = np.cumsum(first) - 1  # the number of each entry's value
+            n_blocks = np.bincount(at[pair], minlength=at[-1] + 1)
+            begin = np.concatenate([[0], np.cumsum(n_blocks)])
+            its_blocks = home[pair]
+            free = who[n_blocks[at] > SPREAD]
+            few = np.flatnonzero((n_blocks[at] > 1) & (n_blocks[at] <= SPREAD))
+            n = n_blocks[at[few]]
+            to = its_blocks[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at[few]], n)]
+            asker, own = np.repeat(who[few], n), np.repeat(home[few], n)
+            found, count = np.unique(asker[to != own] * blocks + to[to != own], return_counts=True)
+            lone, lone_count = np.unique(free, return_counts=True)
+            for k, (source, _, _, _) in enumerate(parts):
+                a, b = np.searchsorted(found, [(k << 16) * blocks, ((k + 1) << 16) * blocks])
+                c, d = np.searchsorted(lone, [k << 16, (k + 1) << 16])
+                if b > a:
+                    yield row(source, 1, (found[a:b] - (k << 16) * blocks).astype(wide), count[a:b].astype(np.uint32), b"")
+                if d > c:
+                    yield row(source, 2, (lone[c:d] - (k << 16)).astype(np.uint16), lone_count[c:d].astype(np.int32), b"")
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, source, rows, a, b, h = (x[i].as_py() for x in batch.columns)
+                if rows < 0:
+                    yield row(source, 0, a, b, h)
+                    continue
+                if c != now:
+                    if parts:
+                        yield from bucket_done()
+                    now, parts = c, []
+                parts.append((source, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint16), np.frombuffer(h, np.int32)))
+        if parts:
+            yield from bucket_done()
+
+    def judge(batches):
         import pyarrow as pa
 
-        parts: dict[int, list] = {}
-        forest = Union()
+        docs, met, free = {}, {}, {}
         for batch in batches:
-            for c, sig, doc, src, dst in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                parts.setdefault(c, []).append((np.frombuffer(sig, np.uint64), np.frombuffer(doc, np.int64)))
-                for x, y in zip(np.frombuffer(src, np.int64).tolist(), np.frombuffer(dst, np.int64).tolist(), strict=True):
-                    forest.join(x, y)
-        for held in parts.values():
-            _, _, a, b = firsts(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                forest.join(x, y)
-        src, dst = forest.edges()
-        for i in range(0, len(src), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(src[i : i + 50_000]), pa.array(dst[i : i + 50_000])], names=["src", "dst"])
-
-    dealt = sets.select("doc_id", "shingles").mapInArrow(scan, "bucket int, sig binary, doc binary, src binary, dst binary").repartition(n_buckets, "bucket")
-    return dealt.mapInArrow(gather, "src long, dst long")
+            for source, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if kind == 0:
+                    docs[source] = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32)
+                elif kind == 1:
+                    met.setdefault(source, []).append((np.frombuffer(a, wide).astype(np.int64), np.frombuffer(b, np.uint32)))
+                else:
+                    np.add.at(free.setdefault(source, np.zeros(1 << 16, np.int64)), np.frombuffer(a, np.uint16), np.frombuffer(b, np.int32))
+        for source, (ids, n, home) in docs.items():
+            need = n - may_differ(n, percent) - free.get(source, np.zeros(1 << 16, np.int64))[: len(ids)]
+            row, to = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if source in met:
+                key, back = np.unique(np.concatenate([m[0] for m in met[source]]), return_inverse=True)
+                count = np.bincount(back, np.concatenate([m[1] for m in met[source]]))
+                row, to = key // blocks, key % blocks
+                hit = (count >= need[row]) & (need[row] > 0)
+                row, to = row[hit], to[hit]
+            anywhere = np.flatnonzero((need <= 0) & (n > 0))
+            row, to = np.concatenate([row, np.repeat(anywhere, blocks)]), np.concatenate([to, np.tile(np.arange(blocks), len(anywhere))])
+            other = to != home[row]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[other]]), pa.array(to[other])], names=["doc_id", "to"])
+
+    parts = homes.select("doc_id", "shingles", "block").mapInArrow(scan, "bucket int, source long, rows int, values binary, owners binary, homes binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    counts = parts.mapInArrow(meet, "source long, kind int, a binary, b binary, c binary").repartition("source")
+    return materialize(counts.mapInArrow(judge, "doc_id long, to long").distinct(), "routes")
 
 
 # -------------------------------------------------------------- trees
@@ -487,6 +521,8 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, home
 
     Of links within what others already join, none is needed."""
     guests = np.flatnonzero(~home)
+    if not home.any():
+        return []
     width = 64
     while width < min(1 << 16, 8 * max(map(len, sets))):
         width *= 2
@@ -513,7 +549,7 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, home
 
 
 def tree_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links within groups of members (comp, block, doc_id, label, home, shingles)."""
+    """Links within blocks of members (block, doc_id, label, home, shingles)."""
 
     def run(batches):
         import pyarrow as pa
@@ -526,16 +562,16 @@ def tree_links(members: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
-            for comp, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (comp, block) != key:
+            for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != key:
                     if held:
                         yield done()
-                    key, held = (comp, block), []
+                    key, held = block, []
                 held.append(row)
         if held:
             yield done()
 
-    grouped = members.select("comp", "block", "doc_id", "label", "home", "shingles").repartition("comp", "block").sortWithinPartitions("comp", "block", "doc_id")
+    grouped = members.select("block", "doc_id", "label", "home", "shingles").repartition("block").sortWithinPartitions("block", "doc_id")
     return grouped.mapInArrow(run, "src long, dst long")
 
 
@@ -623,19 +659,19 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     near = survivors(named, of_texts(k), percent, shingles).join(alone, "doc_id", "left_anti")
     payload = materialize(wanted_sets(named, near, k), "payload")
     for _ in range(2):
-        near = survivors(payload, of_sets, percent, max(1, total(payload)))
-        payload = materialize(payload.join(near, "doc_id", "left_semi"), "payload")
-    near = connected_components(neighbourhoods(payload, percent, max(1, total(payload))))
-    payload = payload.join(near.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "comp"), "doc_id")
-    payload = materialize(payload, "placed")
-    size = payload.groupBy("comp").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / BLOCK).alias("blocks"))
-    payload = payload.join(materialize(size, "sizes"), "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    links = tree_links(payload.select("comp", "block", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("home"), "shingles"), percent)
+        fewer = survivors(payload, of_sets, percent, max(1, total(payload)))
+        smaller = materialize(payload.join(fewer, "doc_id", "left_semi"), "payload")
+        discard(payload, fewer)
+        payload = smaller
+    homes = in_blocks(payload)
+    discard(payload)
+    links = tree_links(homes.select("block", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("home"), "shingles"), percent)
     links = materialize(links, "links")
-    large = payload.where("blocks > 1")
-    if large.limit(1).count():
-        links = links.unionByName(across_blocks(large, links, percent))
+    visits = routes(homes, percent)
+    if visits.limit(1).count():
+        links = links.unionByName(visitors(homes, visits, links, percent))
     joined = connected_components(links.unionByName(copies))
+    discard(homes, visits, copies, with_rep, alone)
     return sets.join(joined, sets["doc_id"] == joined["id"], "left").select(sets["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component", sets["doc_id"]).alias("component_id"))
 
 
@@ -643,19 +679,17 @@ def total(payload: DataFrame) -> int:
     return int(payload.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
 
 
-def across_blocks(payload: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of different blocks of a neighbourhood.
-
-    Documents outside the neighbourhood's main component visit its other blocks."""
+def visitors(homes: DataFrame, visits: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links of documents with blocks that they visit, but those within what `links` already joins."""
     labels = materialize(connected_components(links), "labels")
-    whole = payload.join(labels, F.col("doc_id") == F.col("id"), "left").select("comp", "block", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("label"), "shingles")
+    whole = homes.join(labels, F.col("doc_id") == F.col("id"), "left").select("block", "doc_id", F.coalesce("component", "doc_id").alias("label"), "shingles")
     whole = materialize(whole, "labelled")
-    main = whole.groupBy("comp", "label").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    guests = whole.join(materialize(main, "main"), "comp").where("label <> main")
-    guests = guests.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("to <> block")
-    both = whole.select("comp", "block", "doc_id", "label", F.lit(True).alias("home"), "shingles").unionByName(guests.select("comp", F.col("to").alias("block"), "doc_id", "label", F.lit(False).alias("home"), "shingles"))
-    found = tree_links(both, percent)
-    return materialize(found, "across")
+    guests = whole.drop("block").join(visits, "doc_id").select(F.col("to").alias("block"), "doc_id", "label", F.lit(False).alias("home"), "shingles")
+    visited = whole.join(visits.select(F.col("to").alias("block")).distinct(), "block", "left_semi")
+    both = visited.select("block", "doc_id", "label", F.lit(True).alias("home"), "shingles").unionByName(guests)
+    found = materialize(tree_links(both, percent), "across")
+    discard(whole, labels)
+    return found
 
 
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -666,3 +700,15 @@ def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(read_table(spark, sf_dir, "documents"), 3, 90)
+
+
+SQL = {
+    "op6": """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM d, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 2, 1) END)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT a, y FROM reach JOIN links ON x = b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
+}

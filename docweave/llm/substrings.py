@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Powers, WordHasher, bitmap, buffers, materialize, mix, read_table, signed, space_words, span_hashes, utf8
+from .base import Powers, WordHasher, bitmap, buffers, discard, materialize, mix, read_table, signed, space_words, span_hashes, utf8
 
 WINDOW = 20
 SEED_WORDS = 8
@@ -180,7 +180,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     every = F.expr("shiftleft(1L, n)") - 1
     is_first = (F.col("doc_id") == F.col("source_id")) & (F.col("start") == F.col("source_start"))
     found = paths.drop("edges").join(known, ["mh", "ch"]).withColumn("flags", F.when(is_first, F.col("mask")).otherwise(every)).where("flags <> 0")
-    return materialize(found.select("doc_id", "key", "start", "flags", "source_id", "source_start"), "repeats")
+    found = materialize(found.select("doc_id", "key", "start", "flags", "source_id", "source_start"), "repeats")
+    discard(paths, compact, branching, split, edges, earliest, masks, known)
+    return found
 
 
 def covered(n_words: int, starts: np.ndarray, flags: np.ndarray, window: int) -> np.ndarray:
@@ -220,6 +222,7 @@ def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
     found = repeats(rows.where("doc_id is not null and text is not null"), window)
     lists = found.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("flags").alias("flags"))
     lists = materialize(lists.select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "starts", "flags"), "lists")
+    discard(found)
     # Rows whose id is not in a bitmap of fixed size have no repeats; only the others need the join.
     place = F.xxhash64("doc_id").bitwiseAND((1 << ID_BITS) - 1)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(lists.select(F.xxhash64("r_id").bitwiseAND((1 << ID_BITS) - 1).alias("p")), ID_BITS).tobytes())
@@ -264,3 +267,16 @@ def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of without_repeats: a hash in place of the kept words."""
     return finish(read_table(spark, sf_dir, "documents"), WINDOW, "kept_sha256 string", lambda b: hashlib.sha256(b).hexdigest())
+
+
+SQL = {
+    "op5": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') AS k FROM d, unnest(range(0, greatest(len(w) - 19, 0))) AS t(s)),
+repeats AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + o AS i FROM repeats, unnest(range(0, 20)) AS u(o)),
+words AS (SELECT doc_id, i, w[i + 1] AS x FROM d, unnest(range(0, len(w))) AS t(i)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM words LEFT JOIN gone USING (doc_id, i) WHERE gone.doc_id IS NULL GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+}

@@ -49,9 +49,11 @@ def mutated(n=150):
     return out
 
 
-@pytest.mark.parametrize("k,percent,block", [(3, 90, 10**6), (5, 80, 10**6), (3, 60, 400)])
-def test_components(spark, k, percent, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize("k,percent,block,spread,bands", [(3, 90, 10**6, 16, 8), (5, 80, 10**6, 16, 8), (3, 60, 400, 16, 8), (3, 70, 400, 1, 1), (2, 50, 300, 0, 8)])
+def test_components(spark, k, percent, block, spread, bands, monkeypatch):
+    """Small blocks, few bands and a low spread put likely partners apart: no link may be lost."""
+    for name, value in (("BLOCK", block), ("SPREAD", spread), ("BANDS", bands)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = list(enumerate(mutated()))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = sorted((tuple(r) for r in jaccard.similarity_components(docs, k, percent).select("doc_id", "n_shingles", "component_id").collect()), key=repr)

@@ -242,3 +242,44 @@ def test_islands_and_generator(spark):
     assert [(r.start, r.end) for r in analytics.islands(d, ["k"], "s", "e", 2).orderBy("start").collect()] == [(0, 20), (40, 50)]
     g = analytics.generated_documents(spark, 5)
     assert g.count() == 5 and [g.schema[f"field_{i}"].dataType.simpleString() for i in range(5)] == ["string", "bigint", "boolean", "double", "struct<nested_string:string,nested_number:bigint>"]
+
+
+def test_service(spark, products):
+    from docweave.model import AlreadyExists, NotFound, PreconditionFailed
+    from docweave.service import Service
+
+    s = Service(products)
+    data = spark.sql("SELECT named_struct('name','Pear','price',3.0D,'category','fruit','stock',7L) AS data")
+    s2 = s.create_document("products/pear", data, 5)
+    assert s2.get_document("products/pear").version == 1
+    s3 = s2.patch_document("products/pear", {"price": 4.0}, 6, (Filter("version", "==", 1),))
+    assert s3.get_document("products/pear").data.price == 4.0 and s3.get_document("products/pear").version == 2
+    s4 = s3.replace_document("products/pear", data, 7)
+    assert s4.get_document("products/pear").version == 3 and s4.get_document("products/pear").created_at == 5
+    with pytest.raises(AlreadyExists):
+        s2.create_document("products/pear", data, 5)
+    with pytest.raises(PreconditionFailed):
+        s3.replace_document("products/pear", data, 8, (Filter("version", "==", 9),))
+    with pytest.raises(PreconditionFailed):
+        s.patch_document("products/carrot", {"price": 1.0}, 6)
+    with pytest.raises(NotFound):
+        s.delete_document("products/carrot", 6)
+    with pytest.raises(NotFound):
+        s4.delete_document("products/pear", 9).get_document("products/pear")
+    assert s4.execute_query(Query("products", (Filter("category", "==", "fruit"),))).count() == 3
+    assert s4.pull("products", 5, 10).count() == 1
+
+
+def test_databases(spark, products, tmp_path):
+    from docweave.operators.databases import Stores, create, finish_deleting, mark_deleting
+
+    have = spark.createDataFrame([("d1", "ann", "shop", "active"), ("default", "bob", None, "active")], "id string, owner string, slug string, status string")
+    asked = spark.createDataFrame([(1, "ann", "shop"), (2, "ann", "Bad Slug"), (3, "ann", "one"), (4, "ann", "one"), (5, "ann", None), (6, "bob", "two")], "seq int, owner string, slug string")
+    limits = spark.createDataFrame([("ann", 2)], "owner string, max_databases int")
+    got = {r.seq: r.status for r in create(asked, have, limits).collect()}
+    assert got == {1: "exists", 2: "invalid_slug", 3: "created", 4: "exists", 5: "over_quota", 6: "created"}
+    left, docs = finish_deleting(mark_deleting(have, "default"), products)
+    assert [r.id for r in left.collect()] == ["d1"] and docs.count() == 0
+    stores = Stores(str(tmp_path / "p"), replica={"default": str(tmp_path / "p")})
+    stores.write(products, "default")
+    assert stores.read(spark, "default").count() == 5

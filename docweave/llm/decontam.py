@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 MIN_WORDS = 13
 #: Items with fewer words take no part: chance alone would find them.
 LEAST_WORDS = 5
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 FILTER_BITS = 22
 
 

@@ -9,10 +9,8 @@ compared exactly.
 
 Two exact counts over packed shingles decide which documents meet.  First, a
 document with more shingles of its own than a link allows to differ can have no link
-and takes no further part; this is done over all documents and, as shingles shared
-with those that left no longer count, again over what is left.  The rest is put into
-blocks, likely partners together: which document is where changes the work, not the
-links.  Second, after each block's tree is traversed with itself, a document visits
+and takes no further part.  The rest is put into blocks, likely partners together:
+which document is where changes the work, not the links.  Second, after each block's tree is traversed with itself, a document visits
 every other block that holds as many of its shingles as a link needs, and is
 traversed against that block's tree.
 
@@ -658,11 +656,6 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     shingles = known.agg(F.sum("n")).first()[0] or 0
     near = survivors(named, of_texts(k), percent, shingles).join(alone, "doc_id", "left_anti")
     payload = materialize(wanted_sets(named, near, k), "payload")
-    for _ in range(2):
-        fewer = survivors(payload, of_sets, percent, max(1, total(payload)))
-        smaller = materialize(payload.join(fewer, "doc_id", "left_semi"), "payload")
-        discard(payload, fewer)
-        payload = smaller
     homes = in_blocks(payload)
     discard(payload)
     links = tree_links(homes.select("block", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("home"), "shingles"), percent)

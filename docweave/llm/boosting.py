@@ -38,34 +38,39 @@ class Trees:
         w = np.ones(len(y)) if weight is None else weight
         edges = quantile_edges(x, bins)
         codes = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
+        width = max(len(e) for e in edges) + 1
+        flat = (codes + np.arange(len(edges)) * width).astype(np.int64)
+        # A feature has no cut behind its last edge.
+        barred = np.arange(width)[None, :] >= np.array([len(e) for e in edges])[:, None]
         share = min(max(float(np.average(y, weights=w)), 1e-3), 1 - 1e-3)
         self.bias = float(np.log(share / (1 - share)))
         score = np.full(len(y), self.bias)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-score))
-            self.grow(codes, edges, w * (y - p), w * p * (1 - p), ridge)
+            self.grow(codes, flat, barred, edges, w * (y - p), w * p * (1 - p), ridge)
             score += self.rate * self.leaves[-1][self.leaf(x, len(self.leaves) - 1)]
         return self
 
-    def grow(self, codes, edges, g, h, ridge) -> None:
+    def grow(self, codes, flat, barred, edges, g, h, ridge) -> None:
+        """One tree, level by level: sums of all nodes and features come from one histogram each."""
         size, inner = 2**self.depth, 2**self.depth - 1
         feature, cut, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(g), np.int64)
-        for i in range(inner):
-            at = np.flatnonzero(node == i)
-            best = 1e-9
-            gs, hs = g[at].sum(), h[at].sum()
-            for j, e in enumerate(edges):
-                if not len(e) or len(at) < 2:
-                    continue
-                c = codes[at, j]
-                gl = np.cumsum(np.bincount(c, g[at], len(e) + 1))[:-1]
-                hl = np.cumsum(np.bincount(c, h[at], len(e) + 1))[:-1]
-                gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, feature[i], cut[i] = gain[k], j, e[k]
-            right = codes[at, feature[i]] > np.searchsorted(edges[feature[i]], cut[i]) if np.isfinite(cut[i]) else np.zeros(len(at), bool)
-            node[at] = 2 * i + 1 + right
+        n_features, width = barred.shape
+        for level in range(self.depth):
+            first, nodes = 2**level - 1, 2**level
+            place = ((node - first)[:, None] * (n_features * width) + flat).ravel()
+            sums = [np.bincount(place, np.repeat(v, n_features), nodes * n_features * width).reshape(nodes, n_features, width).cumsum(2) for v in (g, h)]
+            (gl, hl), (gs, hs) = sums, (s[:, :1, -1:] for s in sums)
+            gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
+            gain = np.where(barred[None], -np.inf, gain).reshape(nodes, -1)
+            best = np.argmax(gain, 1)
+            for i in range(nodes):
+                if gain[i, best[i]] > 1e-9:
+                    j, k = divmod(int(best[i]), width)
+                    feature[first + i], cut[first + i] = j, edges[j][k]
+            limit = np.array([np.searchsorted(edges[f], c) if np.isfinite(c) else width for f, c in zip(feature[first : first + nodes], cut[first : first + nodes], strict=True)])
+            right = codes[np.arange(len(g)), feature[node]] > limit[node - first]
+            node = 2 * node + 1 + right
         leaf = node - inner
         self.features.append(feature)
         self.cuts.append(cut)

@@ -72,3 +72,14 @@ def test_differencing_is_even():
 def test_windows_rise_with_capacity():
     found = pack_group([60, 60, 60], 100)
     assert len(found) == 3 and all(len(w) == 1 for w in found)
+
+
+def test_the_fast_encoder_gives_the_same_ids():
+    from docweave.llm.packing import encoder
+
+    fast, slow = encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    slow.encode_special_tokens = True
+    r = random.Random(1)
+    alphabet = [" ", "\n", "\t", "a", "the", "'s", "'S", "é", "漢", "🙂", "́", "1", "٣", "½", "_", "-", "\r\n", "\x1c", " ", "​", "İ", "<|endoftext|>", "\x00", "Ⅷ"]
+    for text in ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)] + [" " * 5000, "a" * 5000, "!?" * 3000, "漢字" * 2000]:
+        assert slow.encode(text, add_special_tokens=False).ids == fast.encode_ordinary(text)

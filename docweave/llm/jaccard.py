@@ -675,16 +675,45 @@ def total(payload: DataFrame) -> int:
 def visitors(homes: DataFrame, visits: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links of documents with blocks that they visit, but those within what `links` already joins."""
     labels = materialize(connected_components(links), "labels")
-    whole = homes.join(labels, F.col("doc_id") == F.col("id"), "left").select("block", "doc_id", F.coalesce("component", "doc_id").alias("label"), "shingles")
-    whole = materialize(whole, "labelled")
-    guests = whole.drop("block").join(visits, "doc_id").select(F.col("to").alias("block"), "doc_id", "label", F.lit(False).alias("home"), "shingles")
-    visited = whole.join(visits.select(F.col("to").alias("block")).distinct(), "block", "left_semi")
-    both = visited.select("block", "doc_id", "label", F.lit(True).alias("home"), "shingles").unionByName(guests)
+    askers = materialize(homes.drop("block").join(visits, "doc_id"), "askers")
+    hosts = homes.join(visits.select(F.col("to").alias("block")).distinct(), "block", "left_semi").select("block", "doc_id", "shingles")
+    hosts = materialize(covered_by(hosts, askers, percent), "hosts")
+    label = F.coalesce("component", "doc_id").alias("label")
+    both = hosts.join(labels, F.col("doc_id") == F.col("id"), "left").select("block", "doc_id", label, F.lit(True).alias("home"), "shingles")
+    guests = askers.join(labels, F.col("doc_id") == F.col("id"), "left").select(F.col("to").alias("block"), "doc_id", label, F.lit(False).alias("home"), "shingles")
+    both = both.unionByName(guests)
     found = materialize(tree_links(both, percent), "across")
-    discard(whole, labels)
+    discard(askers, hosts, labels)
     return found
 
 
+def covered_by(hosts: DataFrame, askers: DataFrame, percent: int) -> DataFrame:
+    """Rows of hosts (block, doc_id, shingles) with as many shingles as a link needs in a bitmap, of fixed size, of the askers' shingles."""
+    size = 1 << FILTER_BITS
+
+    def places(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, values, _ in of_sets(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(values & np.uint64(size - 1)).astype(np.int64))], names=["p"])
+
+    sent = hosts.sparkSession.sparkContext.broadcast(bitmap(askers.select("doc_id", "shingles").mapInArrow(places, "p long"), FILTER_BITS).tobytes())
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for _, values, cuts in of_sets(pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])):
+                hit = np.concatenate([[0], np.cumsum(has_mark(sent.value, (values & np.uint64(size - 1)).astype(np.int64)))])
+                n = np.diff(cuts)
+                keep.append(np.diff(hit[cuts]) >= n - may_differ(n, percent))
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return hosts.mapInArrow(run, hosts.schema)
+
+
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs but those whose component has a smaller id; all columns stay."""
     found = similarity_components(docs, k, percent)

@@ -51,6 +51,11 @@ def execute(docs: DataFrame, q: Query) -> DataFrame:
     One plan for every route: Catalyst pushes the filters into the scan, and order
     with limit becomes a top-k without a full sort."""
     q.validate()
+    return rows(docs, q, q.limit or (DEFAULT_LIMIT if q.route() == "indexed" or q.start_after else 0))
+
+
+def rows(docs: DataFrame, q: Query, limit: int) -> DataFrame:
+    """The rows of a valid query under a limit of the caller's (0 for none)."""
     fields = Fields(docs)
     found = scan(docs, q.database, q.collection, q.show_deleted)
     if (p := fields.all(q.filters)) is not None:
@@ -61,7 +66,6 @@ def execute(docs: DataFrame, q: Query) -> DataFrame:
         if len(values) != len(keys):
             raise InvalidQuery("the cursor is of another order")
         found = found.where(after([(k, d, v) for (k, d), v in zip(keys, values, strict=True)]))
-    limit = q.limit or (DEFAULT_LIMIT if q.route() == "indexed" or q.start_after else 0)
     if q.order_by or limit:
         found = found.orderBy(*directed(keys))
     return found.limit(limit) if limit else found
@@ -71,7 +75,7 @@ def page(docs: DataFrame, q: Query) -> tuple[DataFrame, bool, str]:
     """Rows, whether more follow, and the cursor behind the last row."""
     size = q.limit or DEFAULT_LIMIT
     keys = [k.alias(f"_k{i}") for i, (k, _) in enumerate(orders(Fields(docs), q.order_by))]
-    wide = execute(docs, Query(q.collection, q.filters, q.order_by, min(size + 1, 1000), q.start_after, q.show_deleted, q.database))
+    wide = rows(docs, q.validate(), size + 1)
     seen = wide.select(*keys).collect()  # at most size + 1 rows of sort keys
     cursor = encode_cursor(list(seen[min(size, len(seen)) - 1])) if seen else q.start_after
     return wide.limit(size), len(seen) > size, cursor

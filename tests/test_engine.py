@@ -54,6 +54,20 @@ def test_pages_follow_each_other(products):
     assert seen == ["carrot", "apple", "banana", "cheese", "milk"]
 
 
+def test_pages_of_the_largest_size(spark):
+    """The largest limit, with one row more than it, just as many, and none more."""
+    rows = spark.range(1001).select(F.col("id").cast("string").alias("id"), F.col("id").alias("n"))
+    docs = documents(rows, F.lit("many"), F.col("id"), F.struct("n"))
+    q = Collection(docs, "many").order_by("n").limit(1000)
+    first, more, cursor = q.page()
+    assert first.count() == 1000 and more
+    rest, more, _ = q.start_after(cursor).page()
+    assert ids(rest) == ["1000"] and not more
+    assert not Collection(docs.where("doc_id <> '5'"), "many").order_by("n").limit(1000).page()[1]
+    with pytest.raises(InvalidQuery):
+        Collection(docs, "many").limit(1001).page()
+
+
 @pytest.mark.parametrize("f,want", [(("v", "==", 5), ["0"]), (("v", "==", "5"), ["1"]), (("v", "<", 100), ["0", "5"]), (("v", "!=", 5), ["5"]), (("v", "==", None), ["2"]), (("v", "==", True), ["4"]), (("v", "in", [5, -1.5]), ["0", "5"]), (("v", "in", [5, "5"]), ["0", "1"]), (("tags", "contains", "a"), ["0"]), (("tags", "contains", 2), ["1"]), (("u.name", "==", "x"), ["0"]), (("none", ">", 1), [])])
 def test_filters_on_loose_documents(loose, f, want):
     assert sorted(ids(loose.where(Fields(loose).predicate(Filter(*f))))) == want

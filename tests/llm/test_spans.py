@@ -104,6 +104,22 @@ def test_revealing_terms(spark):
     assert len(found) == 40 and {texts[f.doc_id][f.start : f.end] for f in found} == {"mailto"}
 
 
+def test_entities_are_whole_addresses(spark):
+    """Addresses that share their first run are different entities; case is not told apart."""
+    hasher = pii.WordHasher(pii.alnum_words(), lower=True)
+    value = lambda a: {x["value"] for x in pii.contexts(f"word {a} word", pii.find_personal(f"word {a} word"), hasher)}
+    addresses = ["of.1@a.com", "of.2@b.com", "info@x.org", "info@y.org", "info@x.com", "-@-.-", "--@-.-"]
+    assert len(set.union(*map(value, addresses))) == len(addresses)
+    assert value("Info@X.org") == value("info@x.ORG")
+    r = random.Random(3)
+    common = lambda n: " ".join(r.choice("alpha beta gamma delta omega sigma kappa".split()) for _ in range(n))
+    rows = [(i, f"{common(40)} mailto info@site{i}.org {common(40)}") for i in range(40)] + [(50, f"{common(9)} -@-.- {common(9)}")] + [(100 + i, common(90)) for i in range(40)]
+    rows += [(200 + i, f"{common(40)} copied same@site.org {common(40)}") for i in range(40)]
+    texts = dict(rows)
+    found = pii.scan_personal(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.explode("extra").alias("x")).select("doc_id", "x.*").collect()
+    assert len(found) == 40 and {texts[f.doc_id][f.start : f.end] for f in found} == {"mailto"}
+
+
 def plain_license(t):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

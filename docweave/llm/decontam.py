@@ -23,8 +23,9 @@ from .base import WordHasher, alnum_words, buffers, mix, read_table, utf8
 
 #: 1 takes the word, 0 ignores it.
 MASKS = ["11110111", "1101101101", "1011011101", "1110010111", "11101100111"]
-#: For items shorter than the longest mask.
-SHORT = "11111"
+#: For items shorter than the longest mask.  No overlap of such an item escapes: of up to
+#: two unequal words in a span of 4 to 10, four equal ones stand in a row or with one gap.
+SHORT = ["1111", "10111", "11011", "11101"]
 SIMILARITY = 0.8
 #: An overlap has this many words, or `SIMILARITY` of a shorter item's.
 MIN_WORDS = 13
@@ -58,7 +59,7 @@ class Index:
         for item, h in enumerate(self.words):
             if len(h) < LEAST_WORDS:
                 continue
-            use = [(len(MASKS), SHORT)] if len(h) < longest else list(enumerate(MASKS))
+            use = enumerate(SHORT, len(MASKS)) if len(h) < longest else enumerate(MASKS)
             for number, mask in use:
                 s = seeds(h, number, mask)
                 found.append((s, np.full(len(s), item), np.arange(len(s))))
@@ -100,7 +101,7 @@ def overlaps(texts: list[bytes], index: Index, bits: np.ndarray, hasher: WordHas
         return []
     where, entry = [], []
     low = np.uint64((1 << FILTER_BITS) - 1)
-    for number, mask in [*enumerate(MASKS), *([(len(MASKS), SHORT)] if index.short else [])]:
+    for number, mask in enumerate(MASKS + SHORT if index.short else MASKS):
         s = seeds(h, number, mask)
         at = np.flatnonzero(bits[s & low])
         at = at[text[at] == text[at + len(mask) - 1]]

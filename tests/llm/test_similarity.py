@@ -125,6 +125,32 @@ def test_benchmark_passages(spark, awkward, nothing):
     assert decontam.drop_contaminated(awkward, bench).count() == awkward.count()
 
 
+def test_short_items_lose_no_overlap():
+    """Items of 5 to 10 words with every placing of up to three substitutions, inside a text and cut at its ends."""
+    import itertools
+    import math
+
+    hasher = decontam.WordHasher(decontam.alnum_words(), lower=True)
+    items = [[f"i{n}w{k}" for k in range(n)] for n in range(5, 11)] + [["x", "y", "x", "y", "x", "x"]]
+    index = decontam.Index(list(range(len(items))), [" ".join(w).encode() for w in items], hasher)
+    texts = []
+    for w in items:
+        for gone in (g for m in range(4) for g in itertools.combinations(range(len(w)), m)):
+            body = ["other" if k in gone else x for k, x in enumerate(w)]
+            texts += [["a", "b", *body, "c", "d"], body, ["a", *body[:-1]], [*body[1:], "c"]]
+    want = set()
+    for t, text in enumerate(texts):
+        for i, w in enumerate(items):
+            for shift in range(1 - len(w), len(text)):
+                a, b = max(0, -shift), min(len(w), len(text) - shift)
+                same = [text[shift + k] == w[k] for k in range(a, b)]
+                spans = [(y - x) for x in range(b - a) for y in range(x + 1, b - a + 1) if same[x] and same[y - 1] and 5 * sum(same[x:y]) >= 4 * (y - x)]
+                if max(spans, default=0) >= math.ceil(0.8 * len(w)):
+                    want.add((t, i, shift, max(spans)))
+    found = decontam.overlaps([" ".join(t).encode() for t in texts], index, index.filter(), hasher)
+    assert {(t, i, at - place, n) for t, i, at, place, n, _ in found} == want and len(found) == len(want) > 500
+
+
 def test_longest_span():
     import numpy as np
 

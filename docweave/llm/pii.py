@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import WordHasher, alnum_words, bitmap, buffers, materialize, read_table, signed, utf8
-from .spans import SPAN, digest
+from .spans import SPAN, cut_out, digest
 
 KINDS = ["email", "ip", "card", "phone"]
 EXTRA = ["term"]
@@ -190,20 +190,38 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(counts, "term").select("term", "kind", told.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
+def personal_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `detect` finds, and hit_id, hit_key, extra: the revealing terms of each text that has some."""
+    found = materialize(detect(docs), "personal")
+    terms = materialize(revealing(docs, found), "revealing")
+    near = found.where(F.size("near") > 0).select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*").distinct()
+    hits = near.join(terms.select("term", "kind"), ["term", "kind"]).groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("extra"))
+    return found, hits
+
+
 def scan_personal(docs: DataFrame) -> DataFrame:
     """doc_id, base and extra spans (kind, start, end in code points), a row per row of docs.
 
     Null and empty texts have none; null ids and repeated rows stay, rows with one
     id and different texts are told apart by a hash of the text; texts are read
     whole; other columns play no part; an empty table gives no rows."""
-    found = materialize(detect(docs), "personal")
-    terms = materialize(revealing(docs, found), "revealing")
-    near = found.where(F.size("near") > 0).select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*").distinct()
-    hits = near.join(terms.select("term", "kind"), ["term", "kind"]).groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("extra"))
+    found, hits = personal_parts(docs)
     none = F.array().cast(SPAN)
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key"))
     return found.drop("near").join(hits, same, "left").select("doc_id", "base", F.coalesce("extra", none).alias("extra"))
 
 
+def sanitize_personal(docs: DataFrame) -> DataFrame:
+    """docs with entities and revealing terms generalised to their kind ([EMAIL],
+    [IP], [CARD], [PHONE], [TERM]) and n_chars (where present) following.
+
+    All rows and columns stay; null and empty texts, and texts with no span, are
+    as they were.  Which terms reveal is told by all of docs."""
+    hits = personal_parts(docs)[1].select(F.col("hit_id").alias("_hit_id"), F.col("hit_key").alias("_hit_key"), F.col("extra").alias("_hit_terms"))
+    same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_key"))
+    found = docs.join(hits, same, "left").drop("_hit_id", "_hit_key")
+    return cut_out(found, lambda text: (find_personal(text), []), lambda kind: f"[{kind.upper()}]", "_hit_terms")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_personal(read_table(spark, sf_dir, "documents")), KINDS, EXTRA, by_start=False)

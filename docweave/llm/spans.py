@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 Span = tuple[str, int, int]
@@ -61,22 +62,32 @@ def digest(spans: DataFrame, kinds: list[str], extra_kinds: list[str], by_start:
     return spans.select("doc_id", *[counted(F.col("base"), k).alias(f"n_{k}") for k in kinds], F.sha2(joined(base), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("extra").cast("long").alias("n_extra"))
 
 
-def cut_out(docs: DataFrame, find: Callable, mark: Callable[[str], str]) -> DataFrame:
+def replaced(text: str, spans: list[Span], mark: Callable[[str], str]) -> str:
+    """text with mark(kind) for every span; of overlapping ones the first, and the longest at one place, gives the mark."""
+    out, at = [], 0
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            out += [text[at:s], mark(kind)]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def cut_out(docs: DataFrame, find: Callable, mark: Callable[[str], str], more: str | None = None) -> DataFrame:
     """docs with every span of its text replaced by mark(kind) and n_chars
-    (where present) following; texts without spans, and null, stay as they are."""
-    text_at = docs.columns.index("text")
-    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    (where present) following; texts without spans, and null, stay as they are.
+
+    `more` names a column of further spans, which is left out of the result."""
+    kept = [f for f in docs.schema.fields if f.name != more]
+    names = [f.name for f in kept]
+    docs = docs.select(*[F.col(f"`{c}`") for c in [*names, *([more] if more else [])]])
+    more_at = len(names) if more else None
+    text_at = names.index("text")
+    chars_at = names.index("n_chars") if "n_chars" in names else None
 
-    def clean(text: str) -> str:
+    def clean(text: str, further: list | None) -> str:
         base, extra = find(text)
-        if not base and not extra:
-            return text
-        out, at = [], 0
-        for kind, s, e in sorted(base + extra, key=lambda x: (x[1], -x[2])):
-            if s >= at:
-                out += [text[at:s], mark(kind)]
-            at = max(at, e)
-        return "".join([*out, text[at:]])
+        spans = base + extra + [(x["kind"], x["start"], x["end"]) for x in further or ()]
+        return replaced(text, spans, mark) if spans else text
 
     def run(batches):
         import pyarrow as pa
@@ -85,12 +96,13 @@ def cut_out(docs: DataFrame, find: Callable, mark: Callable[[str], str]) -> Data
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 old = part.column(text_at).to_pylist()
-                new = [None if x is None else clean(x) for x in old]
-                cols = list(part.columns)
+                further = [None] * len(old) if more_at is None else part.column(more_at).to_pylist()
+                new = [None if x is None else clean(x, f) for x, f in zip(old, further, strict=True)]
+                cols = list(part.columns)[: len(names)]
                 cols[text_at] = pa.array(new, part.column(text_at).type)
                 if chars_at is not None:
                     was = part.column(chars_at).to_pylist()
                     cols[chars_at] = pa.array([w if n is o else len(n) for w, o, n in zip(was, old, new, strict=True)], part.column(chars_at).type)
-                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, StructType(kept))

@@ -120,6 +120,26 @@ def test_entities_are_whole_addresses(spark):
     assert len(found) == 40 and {texts[f.doc_id][f.start : f.end] for f in found} == {"mailto"}
 
 
+def test_sanitised_texts(spark, awkward, nothing):
+    """Entities and the corpus's revealing terms leave the texts, and nothing else does."""
+    r = random.Random(4)
+    common = lambda n: " ".join(r.choice("alpha beta gamma delta omega sigma kappa".split()) for _ in range(n))
+    rows = [(i, f"é {common(20)} mailto user{i}@site.org {common(20)}", 7) for i in range(40)] + [(100 + i, common(90), 9) for i in range(40)]
+    rows += [rows[0], (None, rows[1][1], None), (None, None, None), (300, "", 0), (301, "1.2.3.4 and +1 (555) 123-4567 or 4111 1111 1111 1111, mailto none", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    out = pii.sanitize_personal(docs)
+    assert out.schema == docs.schema
+    want = []
+    for i, t, n in rows:
+        new = re.sub(r"mailto user\d+@site\.org", "[TERM] [EMAIL]", t) if t else t
+        if i == 301:
+            new = "[IP] and [PHONE] or [CARD], mailto none"
+        want.append((i, new, n if new == t else len(new)))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert pii.sanitize_personal(awkward).schema == awkward.schema and pii.sanitize_personal(awkward).count() == awkward.count()
+    assert pii.sanitize_personal(nothing).count() == 0
+
+
 def plain_license(t):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

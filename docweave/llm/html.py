@@ -77,6 +77,7 @@ def measure(page: Page) -> tuple[list[Node], np.ndarray, list[int]]:
     cats = [0] * n
     above = [0] * n
     tag_above = [0] * n
+    place = {id(c): k for v in page.nodes for k, c in enumerate(v.children)}
     rows, kept = [], []
     width = len(TOKENS)
     for i, v in enumerate(page.nodes):
@@ -93,7 +94,6 @@ def measure(page: Page) -> tuple[list[Node], np.ndarray, list[int]]:
         if not chars[i]:
             continue
         sib = v.parent.children if v.parent else [v]
-        place = next((k for k, s in enumerate(sib) if s is v), 0) if len(sib) < 200 else 0
         inherited = tag_above[i]
         rows.append(
             [
@@ -112,7 +112,7 @@ def measure(page: Page) -> tuple[list[Node], np.ndarray, list[int]]:
                 own[i] / chars[i],
                 float(paras[i]),
                 float(len(sib)),
-                place / len(sib),
+                place.get(id(v), 0) / len(sib),
                 begin[i] / total,
                 chars[i] / max(1, chars[p]) if p >= 0 else 1.0,
                 float(paras[p]) if p >= 0 else 0.0,

@@ -71,6 +71,18 @@ def test_other_layouts():
         assert text_of(body) == want
 
 
+def test_long_sibling_lists():
+    """Each node's place among several hundred siblings, and what stands behind them, is seen."""
+    paragraphs = "".join(f"<p>{i} {ARTICLE}</p>" for i in range(400))
+    trail = "".join(f'<div class="ad"><a href=/{i}>Buy {i}</a></div>' for i in range(20)) + '<div class="footer">&copy; us</div>'
+    page = html.Page(f"<html><body>{paragraphs}{trail}</body></html>")
+    nodes, x, _ = html.measure(page)
+    siblings = [v for v in nodes if v.parent and len(v.parent.children) == 421]
+    place = {id(v): row[-4] for v, row in zip(nodes, x, strict=True)}
+    assert len(siblings) == 421 and [place[id(v)] for v in siblings] == [k / 421 for k in range(421)]
+    assert text_of(paragraphs + trail) == "\n\n".join(f"{i} {ARTICLE}" for i in range(400))
+
+
 def test_broken_pages(spark, nothing):
     for source in ("", "<", "<p", "<p>a<p>b", "<!-- x", "<script>x", "a < b", "<div " * 300, "<a href='x>y", "<b>" * 5000 + "x"):
         html.extract([source], html.models())

@@ -169,10 +169,12 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     score, ties to the smaller vec_id.  A row with the query's own id is no candidate.
     Rows with a null id, a null vector, or null or non-finite components take no
     part; vectors of different lengths have no score; a candidate row that is
-    repeated counts as often; repeated queries are one; other columns play no part.
+    repeated counts as often; repeated queries are one, of different usable
+    vectors the least as an array; other columns play no part.
     No usable query, or no candidate, gives no rows."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    wanted = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null").dropDuplicates(["vec_id"])
+    usable = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    wanted = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null").where(usable).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     out = []
     for b in range(blocks):

@@ -179,6 +179,19 @@ def test_topk(spark):
     assert [tuple(x) for x in found if x.query_id != 1250] == [w for w in sorted(want) if w[0] != 1250]
 
 
+def test_topk_repeated_queries(spark):
+    """Of a query id's rows one that can be asked is asked, always the same one."""
+    nan, inf = float("nan"), float("inf")
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    for bad in (None, [None, 1.0], [nan, 1.0], [inf, 1.0], [-inf, 1.0]):
+        for rows in ([(0, bad), (0, [1.0, 0.5])], [(0, [1.0, 0.5]), (0, bad)]):
+            asked = spark.createDataFrame(rows, table.schema).coalesce(1)
+            assert [tuple(x) for x in topk.exact_topk(table, asked, 1).collect()] == [(0, 1, 1, 65536)], rows
+    for rows in ([(0, [0.5, 1.0]), (0, [1.0, 0.5])], [(0, [1.0, 0.5]), (0, [0.5, 1.0])]):
+        asked = spark.createDataFrame(rows, table.schema).coalesce(1)
+        assert [tuple(x) for x in topk.exact_topk(table, asked, 1).collect()] == [(0, 1, 2, 65536)]
+
+
 def test_topk_few_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.exact_topk(empty, empty).count() == 0

@@ -94,9 +94,15 @@ def decode_marker(text: str) -> dict[str, str]:
     return json.loads(base64.urlsafe_b64decode(text))["p"] if text else {}
 
 
-def typed(log: DataFrame, soft_deleted: Column) -> DataFrame:
-    """create, update and delete events: a hard delete is no event, an update that soft-deletes is a delete, a replacement creates."""
-    kind = F.when(F.col("op") == "delete", None).when(soft_deleted, "delete").when(F.col("op").isin("insert", "replace"), "create").otherwise("update")
+def typed(log: DataFrame, soft_deleted: Column, was_deleted: Column | None = None) -> DataFrame:
+    """create, update and delete events: a hard delete is no event, an update that soft-deletes is a delete, a replacement creates.
+
+    So does an update that revives a tombstone: was_deleted is true where the document
+    was soft-deleted before, or the update sets deleted to false."""
+    create = F.col("op").isin("insert", "replace")
+    if was_deleted is not None:
+        create = create | F.coalesce(was_deleted, F.lit(False))
+    kind = F.when(F.col("op") == "delete", None).when(soft_deleted, "delete").when(create, "create").otherwise("update")
     return log.withColumn("type", kind).where("type is not null")
 
 

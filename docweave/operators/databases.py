@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_slug
-from .writes import drop_database
-
 
 def create(requests: DataFrame, databases: DataFrame, limits: DataFrame, default_limit: int = 10) -> DataFrame:
     """Requests (seq, owner, slug or null) with their status: created, invalid_slug, exists or over_quota.
@@ -31,11 +29,9 @@ def mark_deleting(databases: DataFrame, database_id: str) -> DataFrame:
 
 
 def finish_deleting(databases: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Databases and documents without those marked: the marked ids are the driver's, a few."""
-    marked = [r["id"] for r in databases.where("status = 'deleting'").select("id").limit(1000).collect()]
-    for database in marked:
-        docs = drop_database(docs, database)
-    return databases.where(~F.col("id").isin(marked)), docs
+    """Databases and documents without those marked, however many."""
+    marked = databases.where("status = 'deleting'").select(F.col("id").alias("database")).distinct()
+    return databases.where("status is null or status <> 'deleting'"), docs.join(marked, "database", "left_anti").select(*docs.columns)
 
 
 @dataclass

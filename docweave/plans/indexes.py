@@ -17,6 +17,8 @@ from ..functions.paths import template_regex
 from ..model import InvalidQuery, Order, Query
 
 RANGE = (">", ">=", "<", "<=")
+STATES = ("healthy", "rebuilding", "failed")
+INDEX = ["database", "pattern", "template"]
 
 
 @dataclass(frozen=True)
@@ -134,6 +136,59 @@ def reconcile(desired: DataFrame, actual: DataFrame) -> DataFrame:
     return found.select("name", action.alias("action"))
 
 
+def list_indexes(entries: DataFrame, states: DataFrame, database: str = "", pattern: str = "", template: str = "") -> DataFrame:
+    """Indexes with an entry (database, pattern, template, doc_id): their documents and state.
+
+    states has a row (database, pattern, template, state) for some; the others are
+    healthy.  An empty name stands for all."""
+    found = entries.where(_named(database, pattern, template)).groupBy(*INDEX).agg(F.count("*").alias("docs"))
+    return found.join(states, INDEX, "left").select(*INDEX, F.coalesce("state", F.lit("healthy")).alias("state"), "docs")
+
+
+def _named(database: str = "", pattern: str = "", template: str = "") -> Column:
+    out = F.lit(True)
+    for name, value in zip(INDEX, (database, pattern, template), strict=True):
+        if value:
+            out = out & (F.col(name) == value)
+    return out
+
+
+def list_databases(entries: DataFrame) -> DataFrame:
+    return entries.select("database").distinct()
+
+
+def delete_index(entries: DataFrame, states: DataFrame, database: str, pattern: str = "", template: str = "") -> tuple[DataFrame, DataFrame]:
+    """Entries and states without one index, or without all of a database (and pattern)."""
+    if not database:
+        raise InvalidQuery("a database is named")
+    gone = _named(database, pattern, template)
+    return entries.where(~gone), states.where(~gone)
+
+
+def set_state(indexes: DataFrame, states: DataFrame, state: str) -> DataFrame:
+    """states with the given indexes in one state."""
+    if state not in STATES:
+        raise InvalidQuery(f"bad state {state!r}")
+    chosen = indexes.select(*INDEX).distinct()
+    return states.join(chosen, INDEX, "left_anti").select(*INDEX, "state").unionByName(chosen.withColumn("state", F.lit(state)))
+
+
+def invalidate(entries: DataFrame, states: DataFrame, database: str, pattern: str = "", template: str = "") -> tuple[DataFrame, int]:
+    """states with a database's indexes (of a pattern, of a template) failed, so that reconcile rebuilds them; and how many."""
+    if not database:
+        raise InvalidQuery("a database is named")
+    chosen = list_indexes(entries, states, database, pattern, template)
+    return set_state(chosen, states, "failed"), chosen.count()
+
+
+def state_report(desired: list[Template], entries: DataFrame, states: DataFrame, database: str = "", pattern: str = "") -> DataFrame:
+    """Desired (templates) against actual indexes: wanted, and database, state and docs where there is one."""
+    rows = sorted({(t.pattern, t.title()) for t in desired if pattern in ("", t.pattern)})
+    wanted = entries.sparkSession.createDataFrame(rows, "pattern string, template string").withColumn("wanted", F.lit(True))  # the driver's own list
+    found = wanted.join(list_indexes(entries, states, database, pattern), ["pattern", "template"], "full")
+    return found.select(*INDEX, F.coalesce("wanted", F.lit(False)).alias("wanted"), "state", "docs")
+
+
 def stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("database", "collection_group").agg(F.count("*").alias("docs"), F.countDistinct("collection").alias("collections"))
 

@@ -7,7 +7,7 @@ from docweave.functions import paths
 from docweave.functions.cel import CelError, Compiler, filters_to_cel
 from docweave.functions.fields import Fields
 from docweave.model import Filter, InvalidQuery, Order, Query, Retry, Trigger, check_document, decode_cursor, document_id, encode_cursor
-from docweave.operators import analytics, cdc, rules, writes
+from docweave.operators import analytics, cdc, databases, rules, writes
 from docweave.operators.query import Collection, execute, flatten
 from docweave.plans import indexes
 from docweave.sources import config
@@ -126,6 +126,44 @@ def test_normalize_and_keys(spark):
     assert [r.key[:21] for r in good.collect()] == ["0000000001-0000000002"] and bad.count() == 2
 
 
+def test_revived_documents_are_created(spark):
+    ops = [("insert", False, None), ("update", False, True), ("update", False, False), ("update", False, None), ("update", True, True), ("replace", False, True), ("delete", False, True)]
+    log = spark.createDataFrame([(i, *o) for i, o in enumerate(ops)], "i int, op string, gone boolean, was boolean")
+    found = {r.i: r.type for r in cdc.typed(log, F.col("gone"), F.col("was")).collect()}
+    assert found == {0: "create", 1: "create", 2: "update", 3: "update", 4: "delete", 5: "create"}
+
+
+def test_any_number_of_databases_is_deleted(spark):
+    ids = spark.range(1300).select(F.concat(F.lit("d"), "id").alias("id"), F.when(F.col("id") < 1200, "deleting").when(F.col("id") < 1299, "active").alias("status"))
+    docs = ids.select(F.col("id").alias("doc_id"), F.col("id").alias("database"))
+    left, kept = databases.finish_deleting(ids, docs)
+    assert left.count() == kept.count() == 100 and kept.columns == docs.columns and left.where("status = 'deleting'").count() == 0
+
+
+def test_index_catalog(spark):
+    t = [indexes.Template("users", (Order("age"),), "byage"), indexes.Template("posts", (Order("at"),), "byat")]
+    entries = spark.createDataFrame([("a", "users", "byage", "1"), ("a", "users", "byage", "2"), ("a", "users", "old", "1"), ("b", "users", "byage", "1")], "database string, pattern string, template string, doc_id string")
+    states = spark.createDataFrame([("a", "users", "old", "rebuilding")], "database string, pattern string, template string, state string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(indexes.list_databases(entries)) == [("a",), ("b",)]
+    assert rows(indexes.list_indexes(entries, states, "a")) == [("a", "users", "byage", "healthy", 2), ("a", "users", "old", "rebuilding", 1)]
+    failed, n = indexes.invalidate(entries, states, "a", template="byage")
+    assert n == 1 and rows(failed) == [("a", "users", "byage", "failed"), ("a", "users", "old", "rebuilding")]
+    assert indexes.invalidate(entries, states, "a")[1] == 2 and indexes.invalidate(entries, states, "none")[1] == 0
+    assert rows(indexes.state_report(t, entries, failed, "a")) == [("a", "users", "byage", True, "failed", 2), ("a", "users", "old", False, "rebuilding", 1), (None, "posts", "byat", True, None, None)]
+    actual = indexes.list_indexes(entries, failed, "a").select(F.col("template").alias("name"), "state")
+    wanted = spark.createDataFrame([(x.name,) for x in t], "name string")
+    assert rows(indexes.reconcile(wanted, actual)) == [("byage", "rebuild"), ("byat", "create"), ("old", "delete")]
+    assert rows(indexes.set_state(indexes.list_indexes(entries, failed, "a", "users", "byage"), failed, "healthy"))[0] == ("a", "users", "byage", "healthy")
+    left, kept = indexes.delete_index(entries, failed, "a", "users", "byage")
+    assert left.count() == 2 and rows(kept) == [("a", "users", "old", "rebuilding")]
+    left, kept = indexes.delete_index(entries, failed, "a")
+    assert rows(left.select("database")) == [("b",)] and kept.count() == 0
+    for bad in (lambda: indexes.set_state(entries, states, "odd"), lambda: indexes.delete_index(entries, states, ""), lambda: indexes.invalidate(entries, states, "")):
+        with pytest.raises(InvalidQuery):
+            bad()
+
+
 def test_markers_and_breaker():
     assert cdc.decode_marker(cdc.encode_marker({"a": "1-2"})) == {"a": "1-2"} and cdc.decode_marker("") == {}
     b = cdc.CircuitBreaker(2, 100)

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import read_table
+from .base import buffers, read_table, utf8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -26,30 +27,41 @@ def differencing(lengths: list[int], windows: int) -> list[list[int]]:
     """Items of each window under multiway differencing."""
     heap = []
     for i, n in enumerate(lengths):
-        loads = np.zeros(windows, np.int64)
-        loads[0] = n
-        heap.append((-n, i, loads, [i] + [None] * (windows - 1)))
+        loads, slots = np.zeros(windows, np.int64), np.full(windows, -1)
+        loads[0], slots[0] = n, i
+        heap.append((-n, i, loads, slots))
     heapq.heapify(heap)
     serial = len(lengths)
-    while len(heap) > 1:  # loads are in descending order; slots hold trees of items
+    # Loads are in descending order; a slot is an item, or a pair of slots numbered behind the items.
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    n_pairs = 0
+    while len(heap) > 1:
         _, _, a, left = heapq.heappop(heap)
         _, _, b, right = heapq.heappop(heap)
-        loads = a + b[::-1]
-        slots = [x if y is None else y if x is None else (x, y) for x, y in zip(left, reversed(right), strict=True)]
+        loads, right = a + b[::-1], right[::-1]
+        slots = np.maximum(left, right)
+        both = np.flatnonzero(np.minimum(left, right) >= 0)
+        if len(both):
+            slots[both] = np.arange(len(both)) + (len(lengths) + n_pairs)
+            pairs.append((left[both], right[both]))
+            n_pairs += len(both)
         order = np.argsort(-loads, kind="stable")
         loads = loads[order]
         loads -= loads[-1]
-        heapq.heappush(heap, (-int(loads[0]), serial, loads, [slots[j] for j in order.tolist()]))
+        heapq.heappush(heap, (-int(loads[0]), serial, loads, slots[order]))
         serial += 1
+    if not heap:
+        return []
+    first, second = (np.concatenate([p[k] for p in pairs]).tolist() if pairs else [] for k in (0, 1))
     out = []
-    for tree in heap[0][3] if heap else []:
-        items, todo = [], [tree]
+    for slot in heap[0][3].tolist():
+        items, todo = [], [slot] if slot >= 0 else []
         while todo:
             x = todo.pop()
-            if isinstance(x, tuple):
-                todo += x
-            elif x is not None:
+            if x < len(lengths):
                 items.append(x)
+            else:
+                todo += (first[x - len(lengths)], second[x - len(lengths)])
         out.append(items)
     return out
 
@@ -64,18 +76,99 @@ def pack_group(lengths: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
-def encoder(path: str, pattern: str):
-    """The byte-level BPE encoder of a file of ranks; kept by the Python worker."""
-    import base64
-    import sys
+class Encoder:
+    """Token ids of whole texts by a tokenizers file.
+
+    A space before something other than white space begins a new word of the
+    pre-tokenizer whatever stands around it, so texts are cut there and equal pieces are
+    encoded once.  A text that holds an added token's string goes to the tokenizer
+    uncut, for such strings change what is a word beside them."""
+
+    #: Pieces, and their ids, that are remembered; pieces that are put together at a time.
+    PIECES, IDS, STEP = 600_000, 4_000_000, 1_000_000
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # byte-level: a character of a token is a byte of text
+            self.sizes[i] = len(token)
+        # First bytes of characters that are never white space (0x85, U+00A0, U+1680, U+2000 and U+3000 begin with those left out).
+        self.solid = np.zeros(256, bool)
+        self.solid[0x21:0x7F] = self.solid[0xC3:] = True
+        self.solid[[0xE1, 0xE2, 0xE3]] = False
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.pool, self.begin = array("I"), array("q", [0])
+
+    def ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encodes new pieces.  Those that begin a word are one text, which is cut where each piece's bytes end."""
+        words = [p for p in pieces if len(p) > 1 and p[0] == 0x20 and self.solid[p[1]]]
+        ids = self.ids(b"".join(words))
+        cuts = 1 + np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in words])) if words else np.zeros(0, np.int64)
+        others = [p for p in pieces if not (len(p) > 1 and p[0] == 0x20 and self.solid[p[1]])]
+        single = [self.ids(p) for p in others]
+        cuts = np.concatenate([cuts, len(ids) + np.cumsum([len(x) for x in single], dtype=np.int64)])
+        self.numbers.update(zip(words + others, range(len(self.begin) - 1, len(self.begin) - 1 + len(pieces)), strict=True))
+        self.begin.frombytes((len(self.pool) + cuts).astype(np.int64).tobytes())
+        self.pool.frombytes(np.concatenate([ids, *single]).tobytes())
+
+    def known(self, pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of pieces, and how many each has."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.numbers) > self.PIECES or len(self.pool) > self.IDS:
+            self.forget()
+        if new := [p for p in distinct if p not in self.numbers]:
+            self.learn(new)
+        which = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        begin = np.frombuffer(self.begin, np.int64)
+        n = begin[which + 1] - begin[which]
+        at = np.arange(n.sum()) + np.repeat(begin[which] - np.cumsum(n) + n, n)
+        return (np.frombuffer(self.pool, np.uint32)[at] if len(at) else np.zeros(0, np.uint32)), n
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        import pyarrow as pa
 
-    import tiktoken
+        if not texts:
+            return []
+        whole = {i: self.ids(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        plain = [b"" if i in whole else t for i, t in enumerate(texts)]
+        joined = b"".join(plain)
+        ends = np.cumsum([len(t) for t in plain], dtype=np.int64)
+        buf = np.frombuffer(joined, np.uint8)
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[: max(0, len(buf) - 1)] = (buf[:-1] == 0x20) & self.solid[buf[1:]]
+        edge[0] = edge[ends] = True
+        cuts = np.flatnonzero(edge)
+        out, counts = [], []
+        for i in range(0, len(cuts) - 1, self.STEP):
+            part = cuts[i : i + self.STEP + 1]
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(part) - 1, [None, pa.py_buffer(part.astype(np.int64)), pa.py_buffer(joined)])
+            ids, n = self.known(pieces)
+            out.append(ids)
+            counts.append(n)
+        ids = np.concatenate(out) if out else np.zeros(0, np.uint32)
+        upto = np.concatenate([[0], *counts]).cumsum()[np.searchsorted(cuts, ends)]
+        return [whole[i] if i in whole else x for i, x in enumerate(np.split(ids, upto[:-1]))]
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; kept by the Python worker."""
+    import sys
 
     kept = sys.__dict__.setdefault("_docweave_encoders", {})
     if path not in kept:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        kept[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        kept[path] = Encoder(path)
     return kept[path]
 
 
@@ -139,12 +232,13 @@ class Packer:
             self.emit(self.take(min(1 << (self.load.bit_length() - 1), 1 << (self.capacity.bit_length() - 1))))
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id: int = 1, piece: int = 256, windows: int = 256, slack: int = 12) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, piece: int = 256, windows: int = 256, slack: int = 12) -> DataFrame:
     """Packs the texts of docs (doc_id, text) into sequences of at most capacity tokens.
 
     One row per piece: doc_id, start (the document's ids before it), length,
     ids_crc32 (of little-endian unsigned 32-bit ids), doc_tokens, sequence_id,
-    offset.  Each document is its ids and end_id.  Null and empty texts are the
+    offset.  Each document is its ids by the tokenizers file, without special tokens
+    added, and end_id.  Null and empty texts are the
     end id alone; a null doc_id stays null; repeated rows are packed each; other
     columns play no part.  An empty table gives no rows.
 
@@ -157,7 +251,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc = encoder(ranks, pattern)
+        enc = encoder(tokenizer)
         p = Packer(TaskContext.get().partitionId() << 40, capacity, piece, windows, min(slack, capacity - 1))
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
@@ -167,13 +261,12 @@ def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, doc_id in enumerate(ids):
-                found = enc.encode_ordinary(texts[i].as_py() or "")
-                found.append(end_id)
-                p.add(doc_id, np.array(found, "<u4"))
-                if len(p.rows) >= 20_000:
-                    yield rows()
+            every, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
+            for i, j in buffers(texts, 1 << 22):
+                for doc_id, ids in zip(every[i:j], enc.encode(texts[i:j]), strict=True):
+                    p.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"))
+                    if len(p.rows) >= 20_000:
+                        yield rows()
         p.finish()
         if p.rows:
             yield rows()
@@ -182,11 +275,11 @@ def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, end_id
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Production packing of all documents; ids equal those of byte_bpe_50k.json."""
+    """Production packing of all documents by byte_bpe_50k.json."""
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))

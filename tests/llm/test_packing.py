@@ -10,7 +10,6 @@ from tokenizers import Tokenizer
 
 def check(rows, texts):
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -50,9 +49,12 @@ def test_awkward_rows(spark, awkward):
     assert sum(r.length for r in every if r.doc_id is None) == sum(r.doc_tokens for r in {(r.doc_tokens, r.ids_crc32): r for r in every if r.doc_id is None and r.start == 0}.values())
 
 
-def test_special_strings_are_text(spark):
-    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    check(pack_documents(docs).collect(), {1: "a <|endoftext|> b"})
+def test_special_strings_and_long_runs(spark):
+    """As the tokenizers file has it: the string of an added token is that token."""
+    texts = {1: "a <|endoftext|> b", 2: " " * 3_000_000, 3: "a" * 300_000, 4: "x\n <|endoftext|>", 5: "a b " * 400_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(pack_documents(docs).collect(), texts)
+    assert 50256 in Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(texts[1], add_special_tokens=False).ids
 
 
 def test_no_rows(nothing):
@@ -74,12 +76,19 @@ def test_windows_rise_with_capacity():
     assert len(found) == 3 and all(len(w) == 1 for w in found)
 
 
-def test_the_fast_encoder_gives_the_same_ids():
-    from docweave.llm.packing import encoder
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
+    """Texts cut into pieces against whole texts by an unmodified tokenizer, with little memory too."""
+    from docweave.llm.packing import Encoder
 
-    fast, slow = encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     r = random.Random(1)
-    alphabet = [" ", "\n", "\t", "a", "the", "'s", "'S", "é", "漢", "🙂", "́", "1", "٣", "½", "_", "-", "\r\n", "\x1c", " ", "​", "İ", "<|endoftext|>", "\x00", "Ⅷ"]
-    for text in ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)] + [" " * 5000, "a" * 5000, "!?" * 3000, "漢字" * 2000]:
-        assert slow.encode(text, add_special_tokens=False).ids == fast.encode_ordinary(text)
+    alphabet = [" ", " ", "\n", "\t", "a", "the", "'s", "'S", "é", "漢", "🙂", "́", "1", "٣", "½", "_", "-", "\r\n", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u3000", "​", "İ", "<|endoftext|>", "\x00", "Ⅷ", "  "]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(6000)] + ["", " ", " a", "a ", " " * 5000, "a" * 5000, "!?" * 3000, "漢字 " * 2000]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for pieces, step in ((10**6, 10**6), (50, 7)):
+        monkeypatch.setattr(Encoder, "PIECES", pieces)
+        monkeypatch.setattr(Encoder, "STEP", step)
+        e = Encoder(P.path("byte_bpe_50k.json"))
+        for i in range(0, len(texts), 11):
+            assert [x.tolist() for x in e.encode([t.encode() for t in texts[i : i + 11]])] == want[i : i + 11]
+    assert e.encode([]) == []

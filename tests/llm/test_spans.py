@@ -68,6 +68,15 @@ def test_weak_parts_need_complements():
     assert secrets.find_secrets("user: bob42" + " x" * 400 + key)[1] == []
 
 
+def test_weak_parts_touch_no_base_span(spark):
+    """An opaque token inside a long assignment with many hex runs in it is no span of its own."""
+    runs = "/".join("deadbeef" * 4 for _ in range(6))
+    text = f"user: bob42 token = {runs}.Zx9fQ2LmN8vT4bYc7Rk1WpD3"
+    base, extra = secrets.find_secrets(text)
+    assert sum(k == "hex" for k, _, _ in base) == 6
+    assert not any(s < b and e > a for k, s, e in extra for _, a, b in base)
+
+
 def test_secret_rows(spark, awkward, nothing):
     rows = digest(secrets.scan_secrets(awkward), secrets.KINDS, secrets.EXTRA, True)
     assert rows.count() == awkward.count() and rows.where("n_assign + n_access + n_hex > 0").count() == 0
@@ -120,6 +129,16 @@ def test_entities_are_whole_addresses(spark):
     assert len(found) == 40 and {texts[f.doc_id][f.start : f.end] for f in found} == {"mailto"}
 
 
+def test_long_digit_runs(spark):
+    """Parts with thousands of zeros are base matches; equal values are one entity, other values are not."""
+    zeros = "0" * 5000
+    rows = [(1, f"near {zeros}1.2.3.4 far"), (2, "near 1.2.3.4 far"), (3, "near 12.3.4.0 far 1.23.4.0 end"), (4, "9" * 6000 + " x +" + "1" * 6000)]
+    found = {r.doc_id: r.spans for r in digest(pii.scan_personal(spark.createDataFrame(rows, "doc_id long, text string")), pii.KINDS, pii.EXTRA, False).collect()}
+    assert found == {1: "ip:5:5012", 2: "ip:5:12", 3: "ip:5:13,ip:18:26", 4: ""}
+    assert pii.canonical("ip", f"{zeros}1.2.3.{zeros}") == "1.2.3.0" and pii.canonical("ip", "1.23.4.0") != pii.canonical("ip", "12.3.4.0")
+    assert pii.canonical("card", "4111 1111-1111 1111") == "4111111111111111"
+
+
 def test_sanitised_texts(spark, awkward, nothing):
     """Entities and the corpus's revealing terms leave the texts, and nothing else does."""
     r = random.Random(4)
@@ -164,6 +183,71 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def plain_labels(t, index):
+    """Labels of the method's own, by loops over every template and shift."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode()
+    w = [index.numbers.get(x, 0) for x in licenses.WORD.findall(low)]
+    out = set()
+    for x in index.templates:
+        words = x.words.tolist()
+        rare = [j for j in x.by_idf if words[j] in w][: licenses.LOOKUP]
+        for shift in range(-len(words), len(w)):
+            stands = lambda j: any(w[i] == words[j] for i in range(max(0, shift + j), min(len(w), shift + j + x.slack + 1)))
+            if not any(0 <= shift + j < len(w) and w[shift + j] == words[j] for j in rare) or sum(map(stands, rare)) < x.least:
+                continue
+            if all(any(w[i : i + len(p)] == p.tolist() for i in range(max(0, shift + j - licenses.SLACK), shift + j + x.slack + licenses.SLACK + 1)) for j, p in x.phrases):
+                out.add(x.label)
+                break
+    return out
+
+
+def test_license_labels_against_brute_force():
+    index = licenses.Index()
+    r = random.Random(12)
+    texts = []
+    for _ in range(500):
+        words = []
+        for _ in range(r.randint(1, 3)):
+            part = r.choice(licenses.TEMPLATES)[1].split()
+            a = r.randrange(len(part)) if r.random() < 0.3 else 0
+            part = part[a : r.randint(a + 1, len(part)) if r.random() < 0.3 else len(part)]
+            for _ in range(r.randint(0, 3)):
+                at = r.randrange(len(part) + 1)
+                part = part[:at] + ["Name", "of"][: r.randint(1, 2)] + part[at + r.randint(0, 1) :]
+            words += part + ["and", "x", "license"][: r.randint(0, 3)]
+        texts.append(" ".join(words))
+    found = 0
+    for t in texts:
+        _, _, _, base, labels, score = licenses.scan(t.encode().translate(licenses.LOWER), index)
+        assert set(labels) == plain_labels(t, index) | set(base), t
+        assert (score > 0) == bool(labels) and score <= 1
+        found += bool(labels)
+    assert found > 200
+
+
+def test_license_names_and_near_misses():
+    index = licenses.Index()
+    label = lambda t: ",".join(licenses.scan(t.encode().translate(licenses.LOWER), index)[4])
+    assert label("Apache-2.0 license") == "apache-2.0"
+    assert label("GNU GPL v3") == "gpl-3.0"
+    assert label("SPDX-License-Identifier: MIT") == "mit"
+    assert label("BSD 3-Clause License") == "bsd-3-clause"
+    assert label("free of charge public domain food in the public domain kitchen") == ""
+    assert label("permission is hereby granted to no one; free of charge") == ""
+    full = "Copyright (c) 2020 A B. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+    assert licenses.scan(full.encode().translate(licenses.LOWER), index)[4:] == (["mit"], 1.0)
+
+
+def test_long_repeated_phrases_take_linear_time():
+    import time
+
+    index = licenses.Index()
+    begin = time.time()
+    for phrase in (b"mit license ", b"released under the mit license ", b"public domain to the extent possible under law ", b"cc by ", b"the of license copyright "):
+        licenses.scan(phrase * (10_000_000 // len(phrase)), index)
+    assert time.time() - begin < 120
+
+
 def test_license_templates(spark):
     texts = ["foo bar. Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "the mit of license", "Redistribution and use in source and binary forms, with or without modification, are permitted"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -74,6 +74,20 @@ def test_first_of_each(spark, awkward):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == want | {None}
 
 
+def test_ids_at_the_ends_of_their_range(spark):
+    """Hash-like ids: sums of them would not fit a long."""
+    r = random.Random(21)
+    ids = [2**63 - 1, -(2**63), 2**62 + 5, 2**63 - 7, -(2**63) + 3, 2**62 + 9, 0, -1]
+    base, other = words(r, 60), words(r, 60)
+    rows = [(i, (base if k % 2 else other) + f" tail{k // 4}") for k, i in enumerate(ids)] + [(2**61, words(r, 40, 9000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((tuple(x) for x in jaccard.similarity_components(docs, 3, 90).collect()), key=repr)
+    assert found == plain_components(rows, 3, 90)
+    assert {x.doc_id for x in jaccard.first_of_each(docs, 3, 90).collect()} == {i for i, _, c in plain_components(rows, 3, 90) if i == c}
+    links = spark.createDataFrame([(ids[0], ids[3]), (ids[3], ids[2]), (ids[1], ids[4])], "src long, dst long")
+    assert {(x.id, x.component) for x in jaccard.connected_components(links).collect()} == {(ids[0], ids[2]), (ids[3], ids[2]), (ids[2], ids[2]), (ids[1], ids[1]), (ids[4], ids[1])}
+
+
 def plain_removal(rows, k):
     first, out = {}, []
     split = [(i, (t or "").encode().split()) for i, t in rows]
@@ -118,13 +132,75 @@ def test_benchmark_passages(spark, awkward, nothing):
     rows = [(0, "clean " + words(r, 300, 5000)), (1, words(r, 40) + " " + items[2][1].upper() + ". " + words(r, 30)), (2, " ".join(spoilt)), (3, items[0][1]), (4, " ".join(items[3][1].split()[10:30])), (5, items[4][1]), (6, None), (6, ""), (1, items[1][1])]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, item_id int, similarity string")
     found = {(x.doc_id, x.item_id, x.item_start, x.n_words) for x in decontam.contaminated(docs, bench).collect()}
-    assert {(d, i) for d, i, _, _ in found} == {(1, 2), (2, 3), (3, 0), (4, 3), (1, 1)}
+    assert {(d, i) for d, i, _, _ in found} == {(1, 2), (2, 3), (3, 0), (4, 3), (1, 1), (5, 4)}
     assert (1, 2, 0, 30) in found and (4, 3, 10, 20) in found and (2, 3, 0, 60) in found
-    assert sorted(x.doc_id for x in decontam.drop_contaminated(docs, bench).collect()) == [0, 5, 6, 6]
+    assert sorted(x.doc_id for x in decontam.drop_contaminated(docs, bench).collect()) == [0, 6, 6]
     assert decontam.contaminated(nothing, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
     assert decontam.drop_contaminated(awkward, bench).count() == awkward.count()
 
 
+def test_items_in_many_blocks(spark, monkeypatch):
+    """Blocks of a few items give what one block gives."""
+    r = random.Random(16)
+    items = [(i, words(r, n, 500)) for i, n in enumerate((1, 2, 3, 4, 7, 12, 30, 60, 25, 25))] + [(3, None), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join([words(r, 30, 500), r.choice(items[:10])[1].upper(), words(r, 20, 500)])) for i in range(40)] + [(50 + i, words(r, 60, 10**6)) for i in range(5)] + [(None, items[7][1]), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted((tuple(x) for x in decontam.contaminated(docs, bench).collect()), key=repr)
+    kept = sorted((tuple(x) for x in decontam.drop_contaminated(docs, bench).collect()), key=repr)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    assert decontam.items_of(bench)[1] > 5 and len(whole) > 30 and len(kept) >= 7
+    assert sorted((tuple(x) for x in decontam.contaminated(docs, bench).collect()), key=repr) == whole
+    assert sorted((tuple(x) for x in decontam.drop_contaminated(docs, bench).collect()), key=repr) == kept
+
+
+def test_repetitive_texts_take_no_quadratic_time():
+    import time
+
+    hasher = decontam.WordHasher(decontam.alnum_words(), lower=True)
+    index = decontam.Index([0, 1], [b"a " * 200, b"a b " * 100], hasher)
+    begin = time.time()
+    found = decontam.overlaps([b"a " * 20_000, b"a b " * 10_000], index, index.filter(), hasher)
+    assert {(t, i) for t, i, *_ in found} == {(0, 0), (1, 1)} and time.time() - begin < 30
+
+
+def plain_overlaps(texts, items):
+    """(text, item) pairs with an overlap on any alignment."""
+    import math
+
+    out = set()
+    for t, text in enumerate(texts):
+        for i, w in enumerate(items):
+            need = min(decontam.MIN_WORDS, math.ceil(0.8 * len(w)))
+            for shift in range(1 - len(w), len(text)):
+                a, b = max(0, -shift), min(len(w), len(text) - shift)
+                same = [text[shift + k] == w[k] for k in range(a, b)]
+                if sum(same) and any(same[x] and same[y - 1] and 5 * sum(same[x:y]) >= 4 * (y - x) for x in range(b - a) for y in range(x + need, b - a + 1)):
+                    out.add((t, i))
+                    break
+    return out
+
+
+def test_recall_over_all_alignments():
+    """Random texts that hold items with up to a fifth of the words substituted: what no seed finds is little."""
+    r = random.Random(31)
+    items = [words(r, r.choice([2, 4, 6, 9, 12, 15, 20, 30, 45]), 4000).split() for _ in range(30)]
+    texts = []
+    for _ in range(250):
+        w = list(r.choice(items))
+        for _ in range(r.randint(0, len(w) // 5)):
+            w[r.randrange(len(w))] = "other"
+        a = r.randint(0, len(w) // 4)
+        texts.append(words(r, r.randint(0, 15), 4000).split() + w[a : len(w) - r.randint(0, len(w) // 4)] + words(r, r.randint(0, 15), 4000).split())
+    want = plain_overlaps(texts, items)
+    hasher = decontam.WordHasher(decontam.alnum_words(), lower=True)
+    index = decontam.Index(list(range(len(items))), [" ".join(w).encode() for w in items], hasher)
+    found = {(t, i) for t, i, *_ in decontam.overlaps([" ".join(t).encode() for t in texts], index, index.filter(), hasher)}
+    assert found <= want and len(want) > 120
+    print("recall", len(found) / len(want), len(want))
+    assert len(found) >= 0.95 * len(want)
+
+
 def test_short_items_lose_no_overlap():
     """Items of 5 to 10 words with every placing of up to three substitutions, inside a text and cut at its ends."""
     import itertools

@@ -25,10 +25,12 @@ BUFFER_BYTES = 1 << 18
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a new
-    temporary folder is made and set."""
+    Only where the session names none and runs on one machine, as in tests, a new
+    temporary folder is made and set; a cluster that names none is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that executors and driver share")
         found = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -268,7 +270,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             new = materialize(new.where("src <> dst").distinct(), "edges")
             discard(e, low)
             e = new
-        now = e.agg(F.count("*"), F.sum("src"), F.sum("dst"), F.sum(F.hash("src", "dst").cast("long"))).first()
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst")), F.sum(F.hash("src", "dst").cast("long"))).first()
         if now == before:
             break
         before = now

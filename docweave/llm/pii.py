@@ -99,21 +99,22 @@ def contexts(text: str, spans: list, hasher: WordHasher) -> list[dict]:
     out = []
     for kind, s, e in spans:
         a, b = int(np.searchsorted(pe, s, "right")), int(np.searchsorted(ps, e))
-        value = hash_address(text[s:e]) if kind == "email" else hash_digits(text[s:e])
+        value = hashed(canonical(kind, text[s:e]))
         for i in [*range(max(0, a - CONTEXT), a), *range(b, min(len(h), b + CONTEXT))]:
             if term[i]:
                 out.append({"term": int(h[i].view(np.int64)), "kind": kind, "value": value, "start": int(ps[i]), "end": int(pe[i])})
     return out
 
 
-def hash_address(s: str) -> int:
-    """E-mail addresses, told apart by all their bytes, A-Z lowered."""
-    return int.from_bytes(hashlib.blake2b(s.lower().encode(), digest_size=8).digest(), "little", signed=True)
+def canonical(kind: str, s: str) -> str:
+    """What tells entities of a kind apart: an address with A-Z lowered, the values of an ip's parts, else all digits."""
+    if kind == "email":
+        return s.lower()
+    return ".".join(p.lstrip("0") or "0" for p in s.split(".")) if kind == "ip" else digits(s)
 
 
-def hash_digits(s: str) -> int:
-    """Entities other than e-mail addresses, told apart by their digits."""
-    return int(digits(s)) % (2**61 - 1)
+def hashed(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 TERM = "array<struct<term:long,kind:string,value:long,start:long,end:long>>"

@@ -14,6 +14,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,10 +88,11 @@ def find_secrets(text: str) -> tuple[list, list]:
     if any(parts.values()):
         taken = sorted((s, e) for _, s, e in base)
         firsts = [s for s, _ in taken]
+        furthest = list(accumulate((e for _, e in taken), max))  # the last end of the spans up to each
 
         def free(s: int, e: int) -> bool:
             i = bisect_left(firsts, e)
-            return not any(taken[j][1] > s for j in range(max(0, i - 4), i))
+            return not i or furthest[i - 1] <= s
 
         parts = {k: [x for x in v if free(*x)] for k, v in parts.items()}
     return base, link(text, parts, [s for _, s, _ in access], [s for _, s, _ in assigns + hexes])
@@ -106,7 +108,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with every reported span replaced by [SECRET], all columns kept."""
+    """docs with every reported span replaced by [SECRET], all columns kept.
+
+    n_chars, where present, follows a changed text; null and empty texts and those
+    without spans stay as they are; null ids and repeated rows stay; an empty table
+    gives no rows."""
     return cut_out(docs, find_secrets, lambda kind: "[SECRET]")
 
 

@@ -10,9 +10,9 @@ compared exactly.
 Two exact counts over packed shingles decide which documents meet.  First, a
 document with more shingles of its own than a link allows to differ can have no link
 and takes no further part.  The rest is put into blocks, likely partners together:
-which document is where changes the work, not the links.  Second, after each block's tree is traversed with itself, a document visits
-every other block that holds as many of its shingles as a link needs, and is
-traversed against that block's tree.
+which document is where changes the work, not the links.  Second, after each block's
+tree is traversed with itself, a document visits every other block that holds as many of
+its shingles as a link needs, and is traversed against that block's tree.
 
 Documents with equal sets are one class; only its smallest id is compared.
 """
@@ -20,7 +20,7 @@ Documents with equal sets are one class; only its smallest id is compared.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import Texts, WordHasher, bitmap, buffers, connected_components, discard, materialize, mix, read_table, signed, space_words, utf8
@@ -35,6 +35,10 @@ ROWS, BANDS = 3, 8
 SPREAD = 16
 FILTER_BITS = 24
 FANOUT = 8
+#: Beyond so many buckets a task's packed counts would hold few shingles each; then shingles travel as rows.
+PACKED = 2048
+#: Bits of all leaves of a tree, at most (128 MB).
+LEAF_BITS = 1 << 30
 
 
 # ------------------------------------------------------------ shingles
@@ -223,29 +227,69 @@ def survivors(rows: DataFrame, read, percent: int, shingles: int) -> DataFrame:
         if parts:
             yield from bucket_done()
 
-    def judge(batches):
+    def judge(batches):  # in order of source, its documents first
         import pyarrow as pa
 
-        docs: dict[int, tuple] = {}
-        own: dict[int, np.ndarray] = {}
+        ids = n = lone = None
+
+        def done():
+            keep = (n > 0) & (lone <= may_differ(n, percent))
+            return pa.RecordBatch.from_arrays([pa.array(ids[keep])], names=["doc_id"])
+
         for batch in batches:
-            for source, kind, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for _, kind, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if not kind:
-                    docs[source] = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                    if ids is not None:
+                        yield done()
+                    ids, n = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                    lone = np.zeros(len(ids), np.int64)
                     continue
                 row = np.frombuffer(a, np.uint16).astype(np.int64)
-                counts = np.frombuffer(b, np.uint8 if len(b) == len(row) else np.uint32)
-                own.setdefault(source, np.zeros(1 << 16, np.int64))[row] += counts
-        for source, (ids, n) in docs.items():
-            lone = own.get(source, np.zeros(1 << 16, np.int64))[: len(ids)]
-            keep = (n > 0) & (lone <= may_differ(n, percent))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep])], names=["doc_id"])
+                lone[row] += np.frombuffer(b, np.uint8 if len(b) == len(row) else np.uint32)
+        if ids is not None:
+            yield done()
 
     parts = rows.mapInArrow(scan, "bucket int, source long, rows int, values binary, owners binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    counts = parts.mapInArrow(once, "source long, kind int, a binary, b binary").repartition("source")
+    counts = parts.mapInArrow(once, "source long, kind int, a binary, b binary").repartition("source").sortWithinPartitions("source", "kind")
     return materialize(counts.mapInArrow(judge, "doc_id long").distinct(), "survivors")
 
 
+def shingle_rows(rows: DataFrame, read, extra: tuple[str, ...] = ()) -> DataFrame:
+    """v, doc_id and the columns behind the second of rows: a row per shingle; rows that share an id are told apart by r."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        r = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            done = 0
+            for doc, values, cuts in read(batch):
+                n = np.diff(cuts)
+                for i in range(0, len(values), 200_000):
+                    owner = np.searchsorted(cuts, np.arange(i, min(len(values), i + 200_000)), "right") - 1
+                    more = [batch.column(2 + k).take(pa.array(done + owner)) for k in range(len(extra))]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(values[i : i + 200_000])), pa.array(doc[owner].astype(np.int64)), pa.array(r + owner), pa.array(n[owner]), *more], names=["v", "doc_id", "r", "n", *extra])
+                done += len(doc)
+                r += len(doc)
+
+    return rows.mapInArrow(run, ", ".join(["v long, doc_id long, r long, n long", *(f"{c} long" for c in extra)]))
+
+
+def most_apart(percent: int) -> Column:
+    """may_differ of the column n."""
+    return F.expr(f"(n + 100 * n div {percent}) * {100 - percent} div {100 + percent}")
+
+
+def survivors_by_rows(rows: DataFrame, read, percent: int) -> DataFrame:
+    """As `survivors`, with a row per shingle: for corpora of very many buckets."""
+    every = shingle_rows(rows, read)
+    lone = every.groupBy("v").agg(F.count("*").alias("c"), F.min("r").alias("r")).where("c = 1").groupBy("r").agg(F.count("*").alias("lone"))
+    sizes = every.select("r", "doc_id", "n").distinct()
+    found = sizes.join(lone, "r", "left").where(F.coalesce("lone", F.lit(0)) <= most_apart(percent))
+    return materialize(found.select("doc_id").distinct(), "survivors")
+
+
 def banded(sets: DataFrame) -> DataFrame:
     """Edges (src, dst) between ids of sets (doc_id, shingles) that share a band of minimum hashes."""
 
@@ -380,35 +424,79 @@ def routes(homes: DataFrame, percent: int) -> DataFrame:
         if parts:
             yield from bucket_done()
 
-    def judge(batches):
+    def judge(batches):  # in order of source, its documents first
         import pyarrow as pa
 
-        docs, met, free = {}, {}, {}
-        for batch in batches:
-            for source, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if kind == 0:
-                    docs[source] = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32)
-                elif kind == 1:
-                    met.setdefault(source, []).append((np.frombuffer(a, wide).astype(np.int64), np.frombuffer(b, np.uint32)))
-                else:
-                    np.add.at(free.setdefault(source, np.zeros(1 << 16, np.int64)), np.frombuffer(a, np.uint16), np.frombuffer(b, np.int32))
-        for source, (ids, n, home) in docs.items():
-            need = n - may_differ(n, percent) - free.get(source, np.zeros(1 << 16, np.int64))[: len(ids)]
+        docs, met, free = None, [], None
+
+        def done():
+            ids, n, home = docs
+            need = n - may_differ(n, percent) - free
             row, to = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if source in met:
-                key, back = np.unique(np.concatenate([m[0] for m in met[source]]), return_inverse=True)
-                count = np.bincount(back, np.concatenate([m[1] for m in met[source]]))
+            if met:
+                key, back = np.unique(np.concatenate([m[0] for m in met]), return_inverse=True)
+                count = np.bincount(back, np.concatenate([m[1] for m in met]))
                 row, to = key // blocks, key % blocks
                 hit = (count >= need[row]) & (need[row] > 0)
                 row, to = row[hit], to[hit]
-            anywhere = np.flatnonzero((need <= 0) & (n > 0))
-            row, to = np.concatenate([row, np.repeat(anywhere, blocks)]), np.concatenate([to, np.tile(np.arange(blocks), len(anywhere))])
             other = to != home[row]
             yield pa.RecordBatch.from_arrays([pa.array(ids[row[other]]), pa.array(to[other])], names=["doc_id", "to"])
+            anywhere = ids[(need <= 0) & (n > 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(np.full(len(anywhere), -1))], names=["doc_id", "to"])
+
+        for batch in batches:
+            for _, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if kind == 0:
+                    if docs is not None:
+                        yield from done()
+                    docs = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32)
+                    met, free = [], np.zeros(len(docs[0]), np.int64)
+                elif kind == 1:
+                    met.append((np.frombuffer(a, wide).astype(np.int64), np.frombuffer(b, np.uint32)))
+                else:
+                    np.add.at(free, np.frombuffer(a, np.uint16), np.frombuffer(b, np.int32))
+        if docs is not None:
+            yield from done()
 
     parts = homes.select("doc_id", "shingles", "block").mapInArrow(scan, "bucket int, source long, rows int, values binary, owners binary, homes binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    counts = parts.mapInArrow(meet, "source long, kind int, a binary, b binary, c binary").repartition("source")
-    return materialize(counts.mapInArrow(judge, "doc_id long, to long").distinct(), "routes")
+    counts = parts.mapInArrow(meet, "source long, kind int, a binary, b binary, c binary").repartition("source").sortWithinPartitions("source", "kind")
+    found = materialize(counts.mapInArrow(judge, "doc_id long, to long").distinct(), "routes")
+    return with_prefixes(homes, found, percent)
+
+
+def with_prefixes(homes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Visits of found (doc_id, to), those of -1 resolved: such a document's shingles are
+    nearly all common.  A partner has all but `may_differ` of them, so it has one of any
+    may_differ + 1: the document visits the blocks of those that the fewest blocks have."""
+    common = materialize(homes.join(found.where("to < 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "shingles", F.col("block").cast("long").alias("block")), "common")
+    if not common.limit(1).count():
+        return found
+    of_common = shingle_rows(common, of_sets, ("block",)).drop("r")
+    wanted = of_common.select("v").distinct()
+    held = materialize(shingle_rows(homes.select("doc_id", "shingles", F.col("block").cast("long").alias("block")), of_sets, ("block",)).join(wanted, "v", "left_semi").select("v", F.col("block").alias("to")).distinct(), "held")
+    spread = held.groupBy("v").agg(F.count("*").alias("blocks"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("blocks", "v"))  # a document's own shingles
+    prefix = of_common.join(spread, "v").withColumn("place", place).where(F.col("place") <= most_apart(percent) + 1)
+    visits = prefix.select("v", "doc_id", "block").join(held, "v").where("to <> block").select("doc_id", "to")
+    out = materialize(found.where("to >= 0").unionByName(visits).distinct(), "visits")
+    discard(found, common, held)
+    return out
+
+
+def routes_by_rows(homes: DataFrame, percent: int) -> DataFrame:
+    """As `routes`, with a row per shingle: for corpora of very many buckets."""
+    every = shingle_rows(homes.select("doc_id", "shingles", F.col("block").cast("long").alias("block")), of_sets, ("block",)).drop("r")
+    held = materialize(every.select("v", F.col("block").alias("to")).distinct(), "held")
+    spread = held.groupBy("v").agg(F.count("*").alias("blocks")).where("blocks > 1")
+    few = held.join(spread.where(F.col("blocks") <= SPREAD).select("v"), "v")
+    met = every.join(few, "v").where("to <> block").groupBy("doc_id", "n", "to").agg(F.count("*").alias("c"))
+    free = every.join(spread.where(F.col("blocks") > SPREAD).select("v"), "v").groupBy("doc_id").agg(F.count("*").alias("free"))
+    need = F.col("n") - most_apart(percent) - F.coalesce("free", F.lit(0))
+    visits = met.join(free, "doc_id", "left").where((need > 0) & (F.col("c") >= need)).select("doc_id", "to")
+    anywhere = every.select("doc_id", "n").distinct().join(free, "doc_id").where(need <= 0).select("doc_id", F.lit(-1).cast("long").alias("to"))
+    found = materialize(visits.unionByName(anywhere).distinct(), "routes")
+    discard(held)
+    return with_prefixes(homes, found, percent)
 
 
 # -------------------------------------------------------------- trees
@@ -522,7 +610,7 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, home
     if not home.any():
         return []
     width = 64
-    while width < min(1 << 16, 8 * max(map(len, sets))):
+    while width < min(1 << 16, 8 * max(map(len, sets))) and 2 * width * len(sets) <= LEAF_BITS:
         width *= 2
     forest = Union()
     out: list[tuple[int, int]] = []
@@ -547,7 +635,7 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, home
 
 
 def tree_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links within blocks of members (block, doc_id, label, home, shingles)."""
+    """Links within blocks of members (block, part, doc_id, label, home, shingles); each part of a block is a task's own."""
 
     def run(batches):
         import pyarrow as pa
@@ -560,16 +648,16 @@ def tree_links(members: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
-            for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != key:
+            for block, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, part) != key:
                     if held:
                         yield done()
-                    key, held = block, []
+                    key, held = (block, part), []
                 held.append(row)
         if held:
             yield done()
 
-    grouped = members.select("block", "doc_id", "label", "home", "shingles").repartition("block").sortWithinPartitions("block", "doc_id")
+    grouped = members.select("block", "part", "doc_id", "label", "home", "shingles").repartition("block", "part").sortWithinPartitions("block", "part", "doc_id")
     return grouped.mapInArrow(run, "src long, dst long")
 
 
@@ -654,13 +742,15 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     alone = materialize(alone, "not-first")
     named = docs.where("doc_id is not null")
     shingles = known.agg(F.sum("n")).first()[0] or 0
-    near = survivors(named, of_texts(k), percent, shingles).join(alone, "doc_id", "left_anti")
+    plain = shingles > PACKED * BUCKET
+    near = survivors_by_rows(named, of_texts(k), percent) if plain else survivors(named, of_texts(k), percent, shingles)
+    near = near.join(alone, "doc_id", "left_anti")
     payload = materialize(wanted_sets(named, near, k), "payload")
     homes = in_blocks(payload)
     discard(payload)
-    links = tree_links(homes.select("block", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("home"), "shingles"), percent)
+    links = tree_links(homes.select("block", F.lit(0).cast("long").alias("part"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("home"), "shingles"), percent)
     links = materialize(links, "links")
-    visits = routes(homes, percent)
+    visits = routes_by_rows(homes, percent) if plain else routes(homes, percent)
     if visits.limit(1).count():
         links = links.unionByName(visitors(homes, visits, links, percent))
     joined = connected_components(links.unionByName(copies))
@@ -673,17 +763,22 @@ def total(payload: DataFrame) -> int:
 
 
 def visitors(homes: DataFrame, visits: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links of documents with blocks that they visit, but those within what `links` already joins."""
+    """Links of documents with blocks that they visit, but those within what `links` already joins.
+
+    A block with many guests is dealt in parts of about a block's size each."""
     labels = materialize(connected_components(links), "labels")
     askers = materialize(homes.drop("block").join(visits, "doc_id"), "askers")
     hosts = homes.join(visits.select(F.col("to").alias("block")).distinct(), "block", "left_semi").select("block", "doc_id", "shingles")
     hosts = materialize(covered_by(hosts, askers, percent), "hosts")
     label = F.coalesce("component", "doc_id").alias("label")
-    both = hosts.join(labels, F.col("doc_id") == F.col("id"), "left").select("block", "doc_id", label, F.lit(True).alias("home"), "shingles")
-    guests = askers.join(labels, F.col("doc_id") == F.col("id"), "left").select(F.col("to").alias("block"), "doc_id", label, F.lit(False).alias("home"), "shingles")
+    parts = materialize(askers.groupBy(F.col("to").alias("to_block")).agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / BLOCK).alias("parts")), "parts")
+    both = hosts.join(parts, F.col("block") == F.col("to_block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = both.join(labels, F.col("doc_id") == F.col("id"), "left").select("block", "part", "doc_id", label, F.lit(True).alias("home"), "shingles")
+    guests = askers.join(parts, F.col("to") == F.col("to_block")).join(labels, F.col("doc_id") == F.col("id"), "left")
+    guests = guests.select(F.col("to").alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", label, F.lit(False).alias("home"), "shingles")
     both = both.unionByName(guests)
     found = materialize(tree_links(both, percent), "across")
-    discard(askers, hosts, labels)
+    discard(askers, hosts, labels, parts)
     return found
 
 

@@ -49,10 +49,10 @@ def mutated(n=150):
     return out
 
 
-@pytest.mark.parametrize("k,percent,block,spread,bands", [(3, 90, 10**6, 16, 8), (5, 80, 10**6, 16, 8), (3, 60, 400, 16, 8), (3, 70, 400, 1, 1), (2, 50, 300, 0, 8)])
-def test_components(spark, k, percent, block, spread, bands, monkeypatch):
-    """Small blocks, few bands and a low spread put likely partners apart: no link may be lost."""
-    for name, value in (("BLOCK", block), ("SPREAD", spread), ("BANDS", bands)):
+@pytest.mark.parametrize("k,percent,block,spread,bands,packed", [(3, 90, 10**6, 16, 8, 2048), (5, 80, 10**6, 16, 8, 2048), (3, 60, 400, 16, 8, 2048), (3, 70, 400, 1, 1, 2048), (2, 50, 300, 0, 8, 2048), (3, 70, 400, 1, 1, 0), (2, 50, 300, 0, 8, 0)])
+def test_components(spark, k, percent, block, spread, bands, packed, monkeypatch):
+    """Small blocks, few bands and a low spread put likely partners apart, shingles travel packed or as rows: no link may be lost."""
+    for name, value in (("BLOCK", block), ("SPREAD", spread), ("BANDS", bands), ("PACKED", packed)):
         monkeypatch.setattr(jaccard, name, value)
     rows = list(enumerate(mutated()))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

@@ -85,7 +85,7 @@ class Encoder:
     uncut, for such strings change what is a word beside them."""
 
     #: Pieces, and their ids, that are remembered; pieces that are put together at a time.
-    PIECES, IDS, STEP = 600_000, 4_000_000, 1_000_000
+    PIECES, IDS, STEP = 1_200_000, 8_000_000, 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

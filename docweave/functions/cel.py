@@ -8,6 +8,7 @@ language has it (Kleene logic); a condition is true only where the whole is true
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -160,6 +161,12 @@ class Parser:
         raise CelError(f"unexpected {text!r}")
 
 
+@lru_cache(maxsize=1000)
+def parsed(text: str) -> Node:
+    """The tree of an expression; a thousand of them are kept."""
+    return Parser(text).parse()
+
+
 def kind_of(t: T.DataType) -> str:
     if isinstance(t, T.BooleanType):
         return "bool"
@@ -213,11 +220,11 @@ class Compiler:
 
     def condition(self, text: str) -> Column:
         """True where the expression is true; false where it is false or fails."""
-        found = self.compile(Parser(text).parse())
+        found = self.compile(parsed(text))
         return F.coalesce(self.as_kind(found, "bool").column, F.lit(False))
 
     def value(self, text: str) -> Column:
-        return self.compile(Parser(text).parse()).column
+        return self.compile(parsed(text)).column
 
     def compile(self, n: Node) -> Value:
         return getattr(self, "on_" + {"&&": "and", "||": "or", "?:": "if", "lit": "lit", "name": "name", "select": "select", "index": "index", "call": "call", "list": "list", "map": "map", "not": "not", "neg": "neg", "in": "in", "==": "compare", "!=": "compare", "<": "compare", "<=": "compare", ">": "compare", ">=": "compare"}.get(n.op, "arithmetic"))(n)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,47 @@ def choose(mix: list[tuple[str, float]], u: Column) -> Column:
     return out.otherwise(mix[-1][0])
 
 
+def chosen(operations: DataFrame, mix: list[tuple[str, float]], u: Column, known: Column) -> DataFrame:
+    """operations with the one drawn at u; where no document is known yet, any but a create becomes a create."""
+    return operations.withColumn("op", F.when(known, choose(mix, u)).otherwise("create"))
+
+
+class Run:
+    """A benchmark run: set up, workers that repeat an operation until the time is up, tear down, a summary."""
+
+    def __init__(self, operation, workers: int = 1, seconds: float = 1.0, set_up=None, tear_down=None, clock=time.monotonic):
+        self.operation, self.workers, self.seconds, self.set_up, self.tear_down, self.clock = operation, workers, seconds, set_up, tear_down, clock
+        self.results: list[tuple[int, float, bool, str | None]] = []
+
+    def _work(self, worker: int, end: float) -> None:
+        while (begin := self.clock()) < end:
+            try:
+                self.operation(worker)
+                fault = None
+            except Exception as e:  # an operation's failure is a result
+                fault = type(e).__name__
+            self.results.append((worker, 1000.0 * (self.clock() - begin), fault is None, fault))
+
+    def run(self) -> dict:
+        if self.set_up:
+            self.set_up()
+        begin = self.clock()
+        try:
+            threads = [threading.Thread(target=self._work, args=(w, begin + self.seconds)) for w in range(self.workers)]
+            for t in threads:
+                t.start()
+            for t in threads:
+                t.join()
+        finally:
+            if self.tear_down:
+                self.tear_down()
+        errors = sum(not r[2] for r in self.results)
+        return {"operations": len(self.results), "errors": errors, "seconds": self.clock() - begin}
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.results, "worker int, latency_ms double, success boolean, error string")
+
+
 def generated_documents(spark, n: int, fields: int = 10, size: int = 100, seed: int = 1) -> DataFrame:
     """n benchmark documents whose fields cycle through text, integer, flag, float and nested object."""
     ids = spark.range(n)

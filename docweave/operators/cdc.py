@@ -36,31 +36,25 @@ def concatenated(disk: DataFrame, tail: DataFrame, after: str = "") -> DataFrame
     return disk.unionByName(tail).where(F.col("key") > after).dropDuplicates(["key"])
 
 
-def head(log: DataFrame) -> DataFrame:
-    return log.agg(F.min("key").alias("first"), F.max("key").alias("head"), F.count("*").alias("events"))
+def head(log: DataFrame, after: str = "") -> DataFrame:
+    """First and last key, the number of events, and of those behind a key."""
+    return log.agg(F.min("key").alias("first"), F.max("key").alias("head"), F.count("*").alias("events"), F.count(F.when(F.col("key") > after, 1)).alias("behind"))
 
 
-def fold(events: Column) -> Column:
-    """Ordered events (op, value, ...) of one document as the one event they amount to, null for none.
+def coalesce(log: DataFrame, *extra_keys: str) -> DataFrame:
+    """One event for each document (and extra key): what its events, in the order of (t, i), amount to.
 
     An insert followed by changes stays an insert with the last body; an insert
-    followed by a delete is nothing; otherwise the later event stands."""
-
-    def step(a: Column, e: Column) -> Column:
-        gone = (a["op"] == "insert") & (e["op"] == "delete")
-        keep_insert = (a["op"] == "insert") & e["op"].isin("update", "replace")
-        return F.when(a.isNull(), e).when(gone, F.lit(None)).when(keep_insert, e.withField("op", F.lit("insert"))).otherwise(e)
-
-    # The start has the events' own type: an element that no array has.
-    return F.aggregate(events, F.get(events, F.lit(-1)), step)
-
-
-def coalesce(log: DataFrame, *extra_keys: str) -> DataFrame:
-    """One event for each document (and extra key), in the order of the log."""
-    columns = [c for c in log.columns if c not in ("database", "collection", "doc_id", *extra_keys)]
-    ordered = F.array_sort(F.collect_list(F.struct("t", "i", *[c for c in columns if c not in ("t", "i")])))
-    found = log.groupBy("database", "collection", "doc_id", *extra_keys).agg(ordered.alias("events"))
-    return found.withColumn("e", fold(F.col("events"))).where("e is not null").select("database", "collection", "doc_id", *extra_keys, "e.*")
+    followed by a delete is nothing; otherwise the later event stands.  So the last
+    event and the last insert or delete before it tell: no document's events are held."""
+    keys = ["database", "collection", "doc_id", *extra_keys]
+    columns = [c for c in log.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy("t", "i")
+    bound = F.last(F.when(F.col("op").isin("insert", "delete"), F.col("op")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    found = log.select("*", F.lead("t").over(w).isNull().alias("_last"), F.coalesce(bound == "insert", F.lit(False)).alias("_inserted")).where("_last")
+    found = found.where(~(F.col("_inserted") & (F.col("op") == "delete")))
+    op = F.when(F.col("_inserted") & F.col("op").isin("update", "replace"), "insert").otherwise(F.col("op"))
+    return found.withColumn("op", op).select(*keys, "t", "i", *[c for c in columns if c not in ("t", "i")])
 
 
 def coalesce_batches(log: DataFrame, size: int = 100) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_slug
+from ..model import NotFound
+
 
 def create(requests: DataFrame, databases: DataFrame, limits: DataFrame, default_limit: int = 10) -> DataFrame:
     """Requests (seq, owner, slug or null) with their status: created, invalid_slug, exists or over_quota.
@@ -36,7 +38,10 @@ def finish_deleting(databases: DataFrame, docs: DataFrame) -> tuple[DataFrame, D
 
 @dataclass
 class Stores:
-    """Folders of documents by database: reads go to the replica where there is one, writes to the primary."""
+    """Folders of documents by database: reads go to the replica where there is one, writes to the primary.
+
+    A database has its own folder, and each write a new generation in it, which counts
+    once it is whole; so a write never touches other databases nor what its plan reads."""
 
     default: str
     primary: dict[str, str] = field(default_factory=dict)
@@ -48,9 +53,60 @@ class Stores:
     def read_path(self, database: str) -> str:
         return self.replica.get(database) or self.write_path(database)
 
+    def generations(self, spark: SparkSession, folder: str) -> list[int]:
+        """The whole generations of a database's folder, oldest first."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        found = [s.getPath() for s in files.listStatus(path)]
+        return sorted(int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("generation=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
     def read(self, spark: SparkSession, database: str) -> DataFrame:
-        return spark.read.parquet(self.read_path(database)).where(F.col("database") == database)
+        folder = f"{self.read_path(database)}/{database}"
+        found = self.generations(spark, folder)
+        if not found:
+            raise NotFound(database)
+        return spark.read.parquet(f"{folder}/generation={found[-1]}")
 
     def write(self, docs: DataFrame, database: str) -> None:
-        """A database's documents, in folders that its queries prune by."""
-        docs.write.mode("overwrite").partitionBy("database", "collection_group").parquet(self.write_path(database))
+        """All of a database's documents (other rows of docs play no part), in folders that its queries prune by."""
+        spark, folder = docs.sparkSession, f"{self.write_path(database)}/{database}"
+        found = self.generations(spark, folder)
+        new = found[-1] + 1 if found else 0
+        docs.where(F.col("database") == database).write.mode("overwrite").partitionBy("collection_group").parquet(f"{folder}/generation={new}")
+        for old in found[:-1]:  # the one before stays for readers that have begun
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/generation={old}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop(self, spark: SparkSession, database: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.write_path(database)}/{database}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Cache:
+    """Databases by id or slug, kept for a time; so is what was not found."""
+
+    def __init__(self, load, ttl_ms: int = 60_000, missing_ms: int = 10_000, most: int = 1000):
+        self.load, self.ttl_ms, self.missing_ms, self.most = load, ttl_ms, missing_ms, most
+        self.kept: dict[str, tuple[int, dict | None]] = {}
+
+    def get(self, identifier: str, now_ms: int) -> dict:
+        """identifier: "id:x" or a slug; load gives the database (id, slug, ...) or None."""
+        until, found = self.kept.get(identifier, (0, None))
+        if until <= now_ms:
+            found = self.load(identifier)
+            until = now_ms + (self.ttl_ms if found else self.missing_ms)
+            names = [identifier] if found is None else ["id:" + found["id"], *([found["slug"]] if found.get("slug") else [])]
+            for name in names:
+                self.kept.pop(name, None)
+                self.kept[name] = until, found
+            while len(self.kept) > self.most:  # the oldest goes
+                self.kept.pop(next(iter(self.kept)))
+        if found is None:
+            raise NotFound(identifier)
+        return found
+
+    def forget(self, database: dict) -> None:
+        for name in ("id:" + database["id"], database.get("slug")):
+            self.kept.pop(name, None)

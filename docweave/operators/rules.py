@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.cel import Compiler, Value, compile_condition
 from ..functions.fields import Fields
 from ..functions.paths import base64_url, glob_regex, rule_regex
-from ..model import Filter, InvalidQuery, Retry, Trigger
+from ..model import AlreadyExists, Filter, InvalidQuery, NotFound, Retry, Trigger
 
 # ---------------------------------------------------------------- subscriptions
 
@@ -75,6 +75,34 @@ def deliver(matches: DataFrame) -> DataFrame:
     return matches.withColumn("data", F.when(F.col("include_data"), F.col("data")))
 
 
+class Registry:
+    """Subscriptions by id and gateway; an id is given once."""
+
+    def __init__(self):
+        self.by_id: dict[str, Subscription] = {}
+
+    def subscribe(self, s: Subscription) -> None:
+        if s.id in self.by_id:
+            raise AlreadyExists(s.id)
+        if not all(f.valid() for f in s.filters):
+            raise InvalidQuery(f"bad filters of {s.id}")
+        self.by_id[s.id] = s
+
+    def unsubscribe(self, subscription_id: str) -> None:
+        if self.by_id.pop(subscription_id, None) is None:
+            raise NotFound(subscription_id)
+
+    def drop_gateway(self, gateway: str) -> int:
+        """A gateway that went away, or is too slow, loses its subscriptions; how many."""
+        gone = [i for i, s in self.by_id.items() if s.gateway == gateway]
+        for i in gone:
+            del self.by_id[i]
+        return len(gone)
+
+    def all(self) -> list[Subscription]:
+        return list(self.by_id.values())
+
+
 def subscription_stats(subscriptions: Iterable[Subscription]) -> dict[str, int]:
     every = list(subscriptions)
     return {"total": len(every), "exact": sum(s.kind() != "expression" for s in every), "expressions": sum(s.kind() == "expression" for s in every), "gateways": len({s.gateway for s in every})}
@@ -97,7 +125,8 @@ def event_scope(events: DataFrame) -> Compiler:
     data = events.schema["data"].dataType
     names = data.names if hasattr(data, "names") else []
     document = F.struct(*[F.col("data")[n].alias(n) for n in names if n not in ("id", "collection", "version")], F.col("doc_id").alias("id"), "collection", *(["version"] if "version" in events.columns else []))
-    event = F.struct(F.col("type"), F.col("ts_ms").alias("timestamp"), document.alias("document"))
+    before = [F.col("before")] if "before" in events.columns else []  # the document's data before the change
+    event = F.struct(F.col("type"), F.col("ts_ms").alias("timestamp"), document.alias("document"), *before)
     return Compiler({"event": (event, events.select(event.alias("e")).schema["e"].dataType)})
 
 
@@ -223,3 +252,31 @@ def with_document(requests: DataFrame, store: DataFrame, path: Column, name: str
     """requests with the live document at `path` as a struct (id, data): get() as a left join."""
     there = store.where(~F.col("deleted")).select(F.col("fullpath").alias("_path"), F.struct(F.col("doc_id").alias("id"), "data").alias(name))
     return requests.join(there, path == F.col("_path"), "left").drop("_path")
+
+
+def assembled(requests: DataFrame, databases: DataFrame, store: DataFrame) -> DataFrame:
+    """Requests (database, path, action, uid, db_admin, body) as rules see them: `request`, `resource` and `is_admin`.
+
+    `resource` is the live document at the path, null for a create; `request.resource`
+    the body of a create or update.  A database's owner is one of its administrators;
+    so is who the list db_admin names it for, by id or slug.  Nobody (a null or empty uid) owns anything."""
+    named = databases.select(F.col("id").alias("_id"), F.col("slug").alias("_slug"), F.col("owner").alias("_owner"))
+    found = requests.join(named, (F.col("database") == F.col("_id")) | (F.col("database") == F.col("_slug")), "left")
+    owner = (F.col("_owner") == F.col("uid")) & (F.col("uid") != "")
+    listed = F.arrays_overlap(F.coalesce("db_admin", F.array().cast("array<string>")), F.array_compact(F.array("database", "_id", "_slug")))
+    found = found.withColumn("is_admin", F.coalesce(owner, F.lit(False)) | F.coalesce(listed, F.lit(False)))
+    there = store.where(~F.col("deleted")).select(F.col("database").alias("_db"), F.col("fullpath").alias("_path"), F.struct(F.col("doc_id").alias("id"), "data").alias("resource"))
+    found = found.join(there, (F.coalesce("_id", "database") == F.col("_db")) & (F.col("path") == F.col("_path")) & (F.col("action") != "create"), "left")
+    body = F.when(F.col("action").isin("create", "update"), F.struct(F.col("body").alias("data")))
+    request = F.struct(F.struct("uid").alias("auth"), body.alias("resource"))
+    return found.withColumn("request", request).drop("_id", "_slug", "_owner", "_db", "_path")
+
+
+def authorized(requests: DataFrame, rules: dict[str, list[Rule]], actions: Iterable[str] = ("get", "list", "create", "update", "delete")) -> DataFrame:
+    """Assembled requests with `allowed`: administrators may do all; others what their database's rules say, nothing without rules."""
+    names = {n: (F.col(n), requests.schema[n].dataType) for n in ("request", "resource")}
+    out = F.lit(False)
+    for database, its in rules.items():
+        for a in actions:
+            out = F.when((F.col("database") == database) & (F.col("action") == a), allowed(F.col("path"), a, its, names)).otherwise(out)
+    return requests.withColumn("allowed", F.col("is_admin") | out)

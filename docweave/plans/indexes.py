@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import Fields
 from ..functions.paths import template_regex
-from ..model import InvalidQuery, Order, Query
+from ..model import DEFAULT_LIMIT, IndexNotReady, InvalidQuery, Order, Query
 
 RANGE = (">", ">=", "<", "<=")
 STATES = ("healthy", "rebuilding", "failed")
@@ -193,10 +193,56 @@ def stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("database", "collection_group").agg(F.count("*").alias("docs"), F.countDistinct("collection").alias("collections"))
 
 
+#: The version and type tags of an order key.
+KEY_VERSION, TAGS = "01", {"null": "00", "boolean": "01", "number": "02", "string": "03"}
+
+
 def memcomparable(column: Column, kind: str, direction: str = "asc") -> Column:
-    """A key's bytes as hex, for tests: order by it is order by the value."""
+    """A value's bytes as hex: order by it is order by the value, null first (last where descending).
+
+    A number's are those of its double with the sign turned; a string's end with 0000,
+    and a zero byte inside is 0001."""
     if kind == "string":
-        body = F.concat(F.lit("03"), F.regexp_replace(F.hex(column), "(..)", "$1"), F.lit("0000"))
+        body = F.concat(F.regexp_replace(F.regexp_replace(F.hex(column.cast("binary")), "(..)", "$1 "), "00 ", "0001 "), F.lit("0000"))
+        body = F.translate(body, " ", "")
+    elif kind == "boolean":
+        body = F.when(column, "01").otherwise("00")
+    elif kind == "number":
+        x = column.cast("double") + F.lit(0.0)  # no negative zero
+        bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x).cast("long")
+        body = F.lpad(F.hex(F.when(x >= 0, bits.bitwiseXOR(F.lit(-(2**63)))).otherwise(F.bitwise_not(bits))), 16, "0")
     else:
-        raise InvalidQuery("only strings have a byte form here")
+        raise InvalidQuery(f"values of kind {kind} have no order key")
+    body = F.when(column.isNull(), TAGS["null"]).otherwise(F.concat(F.lit(TAGS[kind]), body))
     return body if direction == "asc" else F.translate(body, "0123456789ABCDEF", "FEDCBA9876543210")
+
+
+def order_key(values: list[tuple[Column, str, str]], doc_id: Column | None) -> Column:
+    """The key of an index row as hex: version, (column, kind, direction) in turn, and the id with its length; a prefix without an id."""
+    parts = [F.lit(KEY_VERSION), *[memcomparable(*v) for v in values]]
+    if doc_id is not None:
+        parts += [F.lpad(F.hex(F.octet_length(doc_id)), 4, "0"), F.hex(doc_id.cast("binary"))]
+    return F.concat(*parts)
+
+
+def serve(docs: DataFrame, q: Query, templates: list[Template], states: dict[str, str] | None = None) -> DataFrame:
+    """The query by an index: the best template's rows within the query's bounds, in order, under its limit; then their documents.
+
+    IndexNotReady where no template serves it or its index is not healthy.  Order is
+    kept and ids whose document is gone are left out."""
+    from ..operators.query import directed
+
+    t = best(q.validate(), templates)
+    if t is None or (states or {}).get(t.title(), "healthy") != "healthy":
+        raise IndexNotReady(t.title() if t else q.collection)
+    fields = Fields(docs)
+    rows = docs.where((F.col("database") == q.database) & (F.col("collection") == q.collection))
+    rows = rows if q.show_deleted else rows.where(~F.col("deleted"))
+    if (p := fields.all(q.filters)) is not None:
+        rows = rows.where(p)
+    keys = [(k.alias(f"k{i}_{j}"), o.direction) for i, o in enumerate(q.order_by) for j, k in enumerate(fields.sort_keys(o.field))]
+    entries = rows.select("fullpath", F.col("doc_id").alias("_id"), *[k for k, _ in keys])
+    order = directed([(F.col(f"k{i}_{j}"), o.direction) for i, o in enumerate(q.order_by) for j, _ in enumerate(fields.sort_keys(o.field))] + [(F.col("_id"), "asc")])
+    entries = entries.orderBy(*order).limit(q.limit or DEFAULT_LIMIT)  # at most MAX_LIMIT rows
+    fetched = F.broadcast(entries).join(docs.where(F.col("database") == q.database), "fullpath")
+    return fetched.orderBy(*order).select(*docs.columns)

@@ -251,10 +251,11 @@ def soft_delete(spark, sf_dir):
     return writes.delete(_changes(spark, sf_dir), tables.orders_docs(spark, sf_dir), NOW).select("fullpath", "status", "version", "expires_at")
 
 
-@named(f"SELECT fullpath, CASE WHEN d.doc_id IS NULL THEN 'not_found' WHEN d.deleted OR d.version <> 2 THEN 'precondition_failed' ELSE 'updated' END AS status FROM {JOINED}")
+@named(f"SELECT fullpath, CASE WHEN d.doc_id IS NULL THEN 'not_found' WHEN d.deleted OR d.version <> 2 THEN 'precondition_failed' ELSE 'updated' END AS status, d.version + CASE WHEN NOT d.deleted AND d.version = 2 THEN 1 ELSE 0 END AS version, CASE WHEN NOT d.deleted AND d.version = 2 THEN 'Z' ELSE d.status END AS doc_status FROM {JOINED}")
 def cas_update(spark, sf_dir):
-    found = writes.with_current(_changes(spark, sf_dir), tables.orders_docs(spark, sf_dir))
-    return found.select("fullpath", writes.update_status(F.col("cur_version") == 2).alias("status"))
+    changes = _changes(spark, sf_dir).withColumn("set", F.struct(F.lit("Z").alias("status")))
+    found = writes.patch(changes, tables.orders_docs(spark, sf_dir), ["status"], NOW, F.col("cur_version") == 2)
+    return found.select("fullpath", "status", "version", F.col("data.status").alias("doc_status"))
 
 
 @named("SELECT event_id FROM events WHERE epoch_us(ts) // 1000 + value * 1000000 > 1705000000000")
@@ -279,10 +280,14 @@ def pull_checkpoint(spark, sf_dir):
 OUTCOME = "CASE WHEN k % 3 = 0 THEN CASE WHEN d.doc_id IS NULL OR d.deleted THEN 'noop' WHEN k % 4 <> d.version THEN 'conflict' ELSE 'delete' END WHEN d.doc_id IS NULL OR d.deleted THEN 'create' WHEN k % 4 <> d.version THEN 'conflict' ELSE 'update' END"
 
 
-def _pushed(spark, sf_dir):
+def _pushes(spark, sf_dir):
     k = F.col("k")
-    changes = _changes(spark, sf_dir).withColumns({"action": F.when(k % 3 == 0, "delete").otherwise("update"), "base_version": k % 4})
-    return writes.push(changes, tables.orders_docs(spark, sf_dir))
+    data = F.struct(k.alias("custkey"), F.lit("N").alias("status"), k.cast("double").alias("total"), F.lit("-").alias("priority"))
+    return _changes(spark, sf_dir).withColumns({"action": F.when(k % 3 == 0, "delete").otherwise("update"), "base_version": k % 4, "data": data})
+
+
+def _pushed(spark, sf_dir):
+    return writes.push(_pushes(spark, sf_dir), tables.orders_docs(spark, sf_dir))
 
 
 @named(f"SELECT fullpath, {OUTCOME} AS outcome, d.version AS server_version FROM {JOINED}")
@@ -292,7 +297,8 @@ def push_classify(spark, sf_dir):
 
 @named(f"SELECT outcome, COUNT(*) AS n FROM (SELECT {OUTCOME} AS outcome FROM {JOINED}) GROUP BY outcome")
 def push_apply(spark, sf_dir):
-    return _pushed(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
+    outcomes, _ = writes.push_apply(_pushes(spark, sf_dir), tables.orders_docs(spark, sf_dir), NOW)
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @named("WITH RECURSIVE o AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'view' THEN 'update' ELSE 'replace' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, FALSE AS live, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS applied FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT f.user_id, f.n + 1, CASE WHEN o.op = 'create' THEN TRUE WHEN o.op = 'replace' THEN TRUE WHEN NOT f.live THEN FALSE ELSE o.op <> 'delete' END, CASE WHEN o.op = 'create' THEN CASE WHEN f.live THEN f.version ELSE 1 END WHEN o.op = 'replace' OR f.live THEN f.version + 1 ELSE f.version END, f.applied + CASE WHEN o.op = 'create' THEN CASE WHEN f.live THEN 0 ELSE 1 END WHEN o.op = 'replace' OR f.live THEN 1 ELSE 0 END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1) SELECT CAST(user_id AS VARCHAR) AS doc, live, version, applied FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1")
@@ -650,11 +656,11 @@ def op_mix_cumulative(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change log -> coalesced -> typed -> triggers -> the first hundred delivery tasks."""
+    """Change log -> coalesced -> typed -> triggers -> delivery tasks."""
     log = cdc.coalesce_batches(tables.change_log(spark, sf_dir))
     events = cdc.typed(log, F.lit(False)).select("database", "collection", "doc_id", "type", "ts_ms", F.col("i").alias("version"), F.struct("value", "op").alias("data"))
     tasks = rules.fire(events, TRIGGERS)
-    return tasks.select("version", "doc_id", "type", "trigger_id", "subject", "max_attempts").orderBy("version", "trigger_id").limit(100)
+    return tasks.select("version", "doc_id", "type", "trigger_id", "subject", "max_attempts")
 
 
 QUERIES["flagship"] = flagship

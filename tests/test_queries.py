@@ -2,6 +2,7 @@
 
 import pytest
 from compare import connect, differences
+from docweave import operations  # noqa: F401
 from docweave import queries as core
 
 SF = "/root/testdata/sf0.001"

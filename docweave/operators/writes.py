@@ -81,7 +81,7 @@ def delete(changes: DataFrame, store: DataFrame, now: int, retention_ms: int = D
     status = F.when(~F.col("cur_live"), "not_found").when(~ok, "precondition_failed").when(again, "not_found").otherwise("deleted")
     found = found.withColumn("status", status)
     done = F.col("status") == "deleted"
-    return found.withColumns({"version": F.col("cur_version") + done.cast("long"), "deleted": done | F.coalesce("cur_deleted", F.lit(False)), "expires_at": F.when(done, F.lit(now + retention_ms))})
+    return found.withColumns({"version": F.col("cur_version") + done.cast("long"), "deleted": done | F.coalesce("cur_deleted", F.lit(False)), "expires_at": F.when(done, F.lit(now + retention_ms)), "updated_at": F.when(done, F.lit(now)).otherwise(F.col("cur_updated_at")).cast("long")})
 
 
 def purge_expired(store: DataFrame, now: int, column: str = "expires_at") -> DataFrame:
@@ -114,7 +114,7 @@ def rows_of(found: DataFrame, store: DataFrame) -> DataFrame:
         elif c == "data":
             value = F.when(~gone, F.col("data" if "data" in found.columns else "cur_data"))
         elif c == "created_at":
-            value = F.when(F.col("status") == "created", F.col("updated_at")).otherwise(F.col("cur_created_at"))
+            value = F.coalesce(F.when(F.col("cur_live"), F.col("cur_created_at")), F.col("updated_at"))
         else:
             value = F.col(c) if c in found.columns else F.col(f"cur_{c}")
         out.append(value.cast(f.dataType).alias(c))
@@ -218,7 +218,7 @@ def push_apply(changes: DataFrame, store: DataFrame, now: int, collection: str =
             F.concat(a["out"], F.array(F.struct((F.size(a["out"]) + 1).alias("place"), outcome.alias("outcome"), a["version"].alias("server_version")))).alias("out"),
         )
 
-    folded = lists.join(now_at, KEY, "left").withColumn("x", F.aggregate("ops", start, step)).select(*KEY, F.col("s.created_at").alias("was_created"), "x.*")
+    folded = lists.join(now_at, KEY, "left").withColumn("x", F.aggregate("ops", start, step)).select(*KEY, F.when(F.col("s.live"), F.col("s.created_at")).alias("was_created"), "x.*")
     outcomes = folded.select(*KEY, F.explode("out").alias("o")).select(*KEY, "o.*")
-    found = folded.where("changed").select(*KEY, F.when(F.col("live"), F.lit("updated")).otherwise("deleted").alias("status"), "data", "version", F.lit(now).cast("long").alias("updated_at"), F.coalesce("was_created", F.lit(now).cast("long")).alias("cur_created_at"))
+    found = folded.where("changed").select(*KEY, F.when(F.col("live"), F.lit("updated")).otherwise("deleted").alias("status"), "data", "version", F.lit(now).cast("long").alias("updated_at"), F.col("was_created").alias("cur_created_at"), F.col("was_created").isNotNull().alias("cur_live"))
     return outcomes, apply(store, rows_of(found, store))

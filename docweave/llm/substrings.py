@@ -3,13 +3,16 @@
 Method: De Bruijn compaction.  The k-word windows are the edges of a graph whose
 nodes are the (k-1)-word sequences between them.  Every window is filed under its
 minimiser, the least hash among its seeds of `SEED_WORDS` words, which equal windows
-share; consecutive windows of one minimiser make a path.  Paths of equal words are
-one (a join and aggregate compact them, whatever the number of their sources); a
+share; consecutive windows of one minimiser make a short path.  Paths of equal words are
+one (an aggregate compacts them, whatever the number of their sources); a
 path whose minimiser has no other path does not branch and is taken whole, and only
-where paths of one minimiser differ are their edges compared one by one.  Each path
-keeps the coordinates of its first source, which verify every repeat: a window is a
-repeat where its coordinates are not those of the first.  Neighbouring repeated
-windows then join into spans of the documents.
+where paths of one minimiser differ are their edges compared one by one.  Then joins
+compact along the graph: a repeated path that all its occurrences leave for one same
+path, which all its occurrences enter from it, is joined with it, and pointers double
+until every chain without branches has its head.  Each path keeps the coordinates of
+its first source: a window is a repeat where its coordinates are not those of the first.
+Occurrences of one chain on one diagonal to a source are a span, and the words at the
+span's own and at the source's coordinates are compared by a digest before any goes.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import Powers, WordHasher, bitmap, buffers, discard, materialize, mix, read_table, signed, space_words, span_hashes, utf8
@@ -26,8 +29,9 @@ WINDOW = 20
 SEED_WORDS = 8
 #: Minimisers that a task holds before it gives them out.
 HELD = 1_000_000
-#: Sizes of the bitmaps that spare rows a join; any size gives the same result.
-FILTER_BITS = 26
+#: Sizes of the bitmaps that spare rows a join; any size gives the same result.  The first
+#: grows with what it holds, up to 64 MB.
+FILTER_BITS, MOST_BITS = 26, 29
 ID_BITS = 24
 
 
@@ -104,9 +108,10 @@ PATH = "mh long, ch long, doc_id long, key long, start int, n int, edges binary"
 def repeated_paths(docs: DataFrame, common: DataFrame, window: int) -> DataFrame:
     """Paths whose minimiser may be in common: a path that only shares its place in the bitmap is alone and comes to nothing."""
     hasher = WordHasher(space_words())
-    size = 1 << FILTER_BITS
+    n_bits = max(FILTER_BITS, min(MOST_BITS, common.count().bit_length() + 3))
+    size = 1 << n_bits
     places = common.select(F.col("mh").bitwiseAND(size - 1).alias("p"))
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(places, FILTER_BITS).tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(places, n_bits).tobytes())
 
     def run(batches):
         import pyarrow as pa
@@ -160,12 +165,12 @@ def explode_edges(batches):
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Repeated windows of docs (doc_id, key, text) by path: doc_id, key, start (in
-    words), flags (bit i: the window at start + i is a repeat), and the path's first
-    source (source_id, source_start; itself, where only single windows repeat)."""
+    """Repeated windows of docs (doc_id, key, text): doc_id, key, start (in words), n
+    (windows), and either flags (bit i: the window at start + i is a repeat) or, of a span
+    whose windows all are, flags null and check: the digest of the source's words."""
     assert window <= 60 + SEED_WORDS
     paths = repeated_paths(docs, common_minimisers(docs, window), window)
-    coordinate = F.struct("doc_id", "start")
+    coordinate = F.struct("doc_id", "start", "key")
     compact = materialize(paths.groupBy("mh", "ch").agg(F.min(coordinate).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")), "compact")
     branching = materialize(compact.groupBy("mh").agg(F.count("*").alias("paths")).where("paths > 1").select("mh"), "branching")
     split = compact.join(branching, "mh").select("mh", "ch", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
@@ -176,32 +181,118 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     later = edges.join(earliest, ["mh", "edge"]).where(F.struct("doc_id", "at") > F.col("e"))
     masks = materialize(later.groupBy("mh", "ch").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask")), "masks")
     known = compact.join(masks, ["mh", "ch"], "left").where("c > 1 or mask is not null")
-    known = materialize(known.select("mh", "ch", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "known")
+    known = materialize(known.select("mh", "ch", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"), F.col("first.key").alias("source_key"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "known")
     every = F.expr("shiftleft(1L, n)") - 1
     is_first = (F.col("doc_id") == F.col("source_id")) & (F.col("start") == F.col("source_start"))
     found = paths.drop("edges").join(known, ["mh", "ch"]).withColumn("flags", F.when(is_first, F.col("mask")).otherwise(every)).where("flags <> 0")
-    found = materialize(found.select("doc_id", "key", "start", "flags", "source_id", "source_start"), "repeats")
+    found = materialize(found.select("doc_id", "key", "start", "n", "mh", "ch", "flags", "source_id", "source_start", "source_key", (F.col("flags") == every).alias("whole")).dropDuplicates(["doc_id", "key", "start"]), "repeats")
     discard(paths, compact, branching, split, edges, earliest, masks, known)
+    spans = chained(found.where("whole"))
+    checks = digests(docs, spans, window)
+    of_source = ["source_id", "source_key", "source_start", "n"]
+    out = spans.join(checks, of_source).select("doc_id", "key", "start", "n", F.lit(None).cast("long").alias("flags"), "check")
+    single = found.where("not whole").select("doc_id", "key", "start", F.col("n").cast("long").alias("n"), "flags", F.lit(None).cast("binary").alias("check"))
+    out = materialize(out.unionByName(single), "spans")
+    discard(found, spans, checks)
+    return out
+
+
+def chained(found: DataFrame) -> DataFrame:
+    """Spans (doc_id, key, start, n, source_id, source_key, source_start) of occurrences of whole repeated paths."""
+    by_start = Window.partitionBy("doc_id", "key").orderBy("start")
+    node, end = F.struct("mh", "ch"), F.col("start") + F.col("n")
+    steps = found.withColumns({"next": F.when(F.lead("start").over(by_start) == end, F.lead(node).over(by_start)), "before": F.when(F.lag(end).over(by_start) == F.col("start"), F.lag(node).over(by_start))})
+    steps = materialize(steps, "steps")
+    # A path's only neighbour on each side, where every occurrence has that one.
+    only = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c)
+    degrees = materialize(steps.groupBy("mh", "ch").agg(F.max("n").cast("long").alias("n"), only("next"), only("before")), "degrees")
+    ahead = degrees.where("next is not null").select(F.col("mh").alias("h_mh"), F.col("ch").alias("h_ch"), F.col("n").alias("dist"), F.col("next.mh").alias("mh"), F.col("next.ch").alias("ch"))
+    behind = degrees.where("before is not null").select("mh", "ch", F.col("before.mh").alias("h_mh"), F.col("before.ch").alias("h_ch"))
+    heads = materialize(ahead.join(behind, ["mh", "ch", "h_mh", "h_ch"]).select("mh", "ch", "h_mh", "h_ch", "dist"), "heads")
+    while True:  # no chain is a circle: the last occurrence on one leaves it
+        on = heads.select(F.col("mh").alias("h_mh"), F.col("ch").alias("h_ch"), F.col("h_mh").alias("to_mh"), F.col("h_ch").alias("to_ch"), F.col("dist").alias("further"))
+        if not heads.join(on, ["h_mh", "h_ch"], "left_semi").limit(1).count():
+            break
+        moved = heads.join(on, ["h_mh", "h_ch"], "left").select("mh", "ch", F.coalesce("to_mh", "h_mh").alias("h_mh"), F.coalesce("to_ch", "h_ch").alias("h_ch"), (F.col("dist") + F.coalesce("further", F.lit(0))).alias("dist"))
+        moved = materialize(moved, "heads")
+        discard(heads)
+        heads = moved
+    placed = steps.drop("next", "before").join(heads, ["mh", "ch"], "left")
+    dist = F.coalesce("dist", F.lit(0))
+    line = F.struct(F.coalesce("h_mh", "mh"), F.coalesce("h_ch", "ch"), F.col("start") - dist, "source_id", "source_key", F.col("source_start") - dist)
+    placed = placed.withColumn("line", line)
+    new = (F.lag(end).over(by_start) == F.col("start")) & (F.lag("line").over(by_start) == F.col("line"))
+    placed = placed.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("span", F.sum("new").over(by_start))
+    spans = placed.groupBy("doc_id", "key", "span").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("source_id").alias("source_id"), F.min("source_key").alias("source_key"), F.min("source_start").alias("source_start"))
+    spans = materialize(spans.drop("span"), "chained")
+    discard(steps, degrees, heads)
+    return spans
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def digests(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """check: the digest of the words at the source's coordinates of each span."""
+    asked = spans.select("source_id", "source_key", "source_start", "n").distinct().groupBy("source_id", "source_key").agg(F.collect_list(F.struct("source_start", "n")).alias("asked"))
+    asked = materialize(asked, "asked")
+    place = F.xxhash64("source_id").bitwiseAND((1 << ID_BITS) - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select(place.alias("p")), ID_BITS).tobytes())
+
+    def wanted(batches):
+        import pyarrow as pa
+
+        bits = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            p = batch.column(3).to_numpy()
+            hit = pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns[:3]], names=["source_id", "source_key", "text"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, keys, texts, asked = (batch.column(k) for k in range(4))
+            for i in range(batch.num_rows):
+                words, spans = texts[i].as_py().encode().split(), asked[i].as_py()
+                found = [digest(words[x["source_start"] : x["source_start"] + x["n"] + window - 1]) for x in spans]
+                which = pa.array(np.full(len(spans), i))
+                yield pa.RecordBatch.from_arrays([ids.take(which), keys.take(which), pa.array([x["source_start"] for x in spans], pa.int32()), pa.array([x["n"] for x in spans], pa.int64()), pa.array(found, pa.binary())], names=["source_id", "source_key", "source_start", "n", "check"])
+
+    rows = docs.select(F.col("doc_id").alias("source_id"), F.col("key").alias("source_key"), "text")
+    rows = rows.withColumn("p", place).mapInArrow(wanted, "source_id long, source_key long, text string")
+    found = rows.join(asked, ["source_id", "source_key"]).select("source_id", "source_key", "text", "asked")
+    found = materialize(found.mapInArrow(run, "source_id long, source_key long, source_start int, n long, check binary").distinct(), "digests")
+    discard(asked)
     return found
 
 
-def covered(n_words: int, starts: np.ndarray, flags: np.ndarray, window: int) -> np.ndarray:
-    """Words that a repeated window covers."""
+def covered(words: list[bytes], spans: list[dict], window: int) -> np.ndarray:
+    """Words that a repeated window covers; a span counts only if its words are the source's."""
+    n_words = len(words)
     edge = np.zeros(n_words + 1, np.int64)
-    for i in range(61):
-        at = starts[(flags >> i) & 1 == 1] + i
-        if len(at):
-            np.add.at(edge, at, 1)
-            np.add.at(edge, np.minimum(at + window, n_words), -1)
+    for x in spans:
+        start, flags = x["start"], x["flags"]
+        if flags is None:
+            end = start + x["n"] + window - 1
+            if digest(words[start:end]) == x["check"]:
+                edge[start] += 1
+                edge[end] -= 1
+        else:
+            for i in range(x["n"]):
+                if flags >> i & 1:
+                    edge[start + i] += 1
+                    edge[start + i + window] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
-def kept_words(text: bytes, starts, flags, window: int) -> tuple[int, list[bytes]]:
+def kept_words(text: bytes, spans: list[dict] | None, window: int) -> tuple[int, list[bytes]]:
     """The number of words, and those that stay."""
     words = text.split()  # of bytes: exactly space and \x09-\x0d
-    if starts is None:
+    if not spans:
         return len(words), words
-    gone = covered(len(words), np.array(starts, np.int64), np.array(flags, np.int64), window)
+    gone = covered(words, spans, window)
     return len(words), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
@@ -220,8 +311,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     found = repeats(rows.where("doc_id is not null and text is not null"), window)
-    lists = found.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("flags").alias("flags"))
-    lists = materialize(lists.select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "starts", "flags"), "lists")
+    lists = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "flags", "check")).alias("spans"))
+    lists = materialize(lists.select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "spans"), "lists")
     discard(found)
     # Rows whose id is not in a bitmap of fixed size have no repeats; only the others need the join.
     place = F.xxhash64("doc_id").bitwiseAND((1 << ID_BITS) - 1)
@@ -239,12 +330,12 @@ def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(marked(batch))) for c in batch.columns[:3]], names=batch.schema.names[:3])
 
-    def rows_of(ids, texts, starts, flags):
+    def rows_of(ids, texts, spans):
         import pyarrow as pa
 
         for at in range(0, len(ids), 500):
-            part = [x[at : at + 500] for x in (texts, starts, flags)]
-            kept = [kept_words(b"" if t is None else t.encode(), s, f, window) for t, s, f in zip(*(x.to_pylist() for x in part), strict=True)]
+            part = [x[at : at + 500] for x in (texts, spans)]
+            kept = [kept_words(b"" if t is None else t.encode(), s, window) for t, s in zip(*(x.to_pylist() for x in part), strict=True)]
             yield pa.RecordBatch.from_arrays([ids[at : at + 500], pa.array([n for n, _ in kept], pa.int64()), pa.array([n - len(k) for n, k in kept], pa.int64()), pa.array([of(b" ".join(k)) for _, k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", column.split()[0]])
 
     def alone(batches):
@@ -252,7 +343,7 @@ def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
 
         for batch in batches:
             ids, texts = (batch.column(k).filter(pa.array(~marked(batch))) for k in (0, 2))
-            yield from rows_of(ids, texts, pa.nulls(len(ids)), pa.nulls(len(ids)))
+            yield from rows_of(ids, texts, pa.nulls(len(ids)))
 
     def cut(batches):
         for batch in batches:
@@ -260,7 +351,7 @@ def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
 
     placed = rows.withColumn("p", place)
     same = (F.col("doc_id") == F.col("r_id")) & (F.col("key") == F.col("r_key"))
-    joined = placed.mapInArrow(to_join, "doc_id long, key long, text string").join(lists, same, "left").select("doc_id", "text", "starts", "flags")
+    joined = placed.mapInArrow(to_join, "doc_id long, key long, text string").join(lists, same, "left").select("doc_id", "text", "spans")
     return placed.mapInArrow(alone, result).unionByName(joined.mapInArrow(cut, result))
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import Powers, WordHasher, bitmap, buffers, discard, materialize, mix, read_table, signed, space_words, span_hashes, utf8
@@ -63,13 +63,19 @@ def minimisers(h: np.ndarray, first: np.ndarray, window: int, hasher: WordHasher
 
 def paths_of(texts: list[bytes], window: int, hasher: WordHasher):
     """Of each path of texts: minimiser hash, hash of all its words, the row, the
-    first word within the row, the number of windows; and every window's hash."""
+    first word within the row, the number of windows, the words' hashes and where it
+    begins among them; a number of the path, and those of its neighbours (0 for none)."""
     h, text, _, _, first = hasher.words(texts)
     start, n, place = minimisers(h, first, window, hasher)
     seeds = hasher.ngrams(h, min(SEED_WORDS, window))
     words = span_hashes(h, start, start + n - 1 + window, hasher.grams.setdefault(2, Powers(0xA0761D6478BD642F)))
     row = text[start] if len(start) else start
-    return mix(seeds[place] ^ np.uint64(0xE7037ED1A0B428DB)), words, row, start - first[row], n, h, start
+    mh = mix(seeds[place] ^ np.uint64(0xE7037ED1A0B428DB))
+    pid = mix(mh ^ words * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    ahead, before = np.zeros((2, len(pid)), np.uint64)
+    joined = np.flatnonzero((row[1:] == row[:-1]) & (start[1:] == start[:-1] + n[:-1]))
+    ahead[joined], before[joined + 1] = pid[joined + 1], pid[joined]
+    return mh, words, row, start - first[row], n, h, start, pid, ahead, before
 
 
 def common_minimisers(docs: DataFrame, window: int) -> DataFrame:
@@ -102,7 +108,7 @@ def common_minimisers(docs: DataFrame, window: int) -> DataFrame:
     return materialize(counted.where("n > 1").select("mh"), "minimisers")
 
 
-PATH = "mh long, ch long, doc_id long, key long, start int, n int, edges binary"
+PATH = "mh long, ch long, doc_id long, key long, start int, n int, pid long, ahead long, before long, edges binary"
 
 
 def repeated_paths(docs: DataFrame, common: DataFrame, window: int) -> DataFrame:
@@ -120,7 +126,7 @@ def repeated_paths(docs: DataFrame, common: DataFrame, window: int) -> DataFrame
         for batch in batches:
             texts = utf8(batch.column(2))
             for i, j in buffers(texts):
-                mh, ch, row, start, n, h, at = paths_of(texts[i:j], window, hasher)
+                mh, ch, row, start, n, h, at, *ids = paths_of(texts[i:j], window, hasher)
                 p = mh & np.uint64(size - 1)
                 keep = np.flatnonzero((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
                 if not len(keep):
@@ -128,7 +134,7 @@ def repeated_paths(docs: DataFrame, common: DataFrame, window: int) -> DataFrame
                 edges = hasher.ngrams(h, window, salt=1)
                 blobs = [edges[a : a + k].tobytes() for a, k in zip(at[keep].tolist(), n[keep].tolist(), strict=True)]
                 which = pa.array(row[keep] + i)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mh[keep])), pa.array(signed(ch[keep])), batch.column(0).take(which), batch.column(1).take(which), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(blobs, pa.binary())], names=[c.split()[0] for c in PATH.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(mh[keep])), pa.array(signed(ch[keep])), batch.column(0).take(which), batch.column(1).take(which), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), *(pa.array(signed(x[keep])) for x in ids), pa.array(blobs, pa.binary())], names=[c.split()[0] for c in PATH.split(", ")])
 
     return materialize(docs.select("doc_id", "key", "text").mapInArrow(run, PATH), "paths")
 
@@ -171,7 +177,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     assert window <= 60 + SEED_WORDS
     paths = repeated_paths(docs, common_minimisers(docs, window), window)
     coordinate = F.struct("doc_id", "start", "key")
-    compact = materialize(paths.groupBy("mh", "ch").agg(F.min(coordinate).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")), "compact")
+    # A path's only neighbour on each side, where every occurrence has that one.
+    only = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)
+    compact = materialize(paths.groupBy("mh", "ch").agg(F.min(coordinate).alias("first"), F.max("n").alias("n"), F.count("*").alias("c"), F.max("pid").alias("pid"), only("ahead"), only("before")), "compact")
     branching = materialize(compact.groupBy("mh").agg(F.count("*").alias("paths")).where("paths > 1").select("mh"), "branching")
     split = compact.join(branching, "mh").select("mh", "ch", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
     split = materialize(split, "split")
@@ -180,14 +188,18 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     earliest = materialize(edges.groupBy("mh", "edge").agg(F.min(F.struct("doc_id", "at")).alias("e"), F.count("*").alias("c")).where("c > 1").drop("c"), "earliest")
     later = edges.join(earliest, ["mh", "edge"]).where(F.struct("doc_id", "at") > F.col("e"))
     masks = materialize(later.groupBy("mh", "ch").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask")), "masks")
-    known = compact.join(masks, ["mh", "ch"], "left").where("c > 1 or mask is not null")
-    known = materialize(known.select("mh", "ch", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"), F.col("first.key").alias("source_key"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "known")
+    known = compact.join(masks, ["mh", "ch"], "left").where("c > 1 or mask is not null").join(chains(compact.where("c > 1")), "pid", "left")
+    source = [F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"), F.col("first.key").alias("source_key")]
+    known = materialize(known.select("mh", "ch", *source, F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), F.coalesce("head", "pid").alias("head"), F.coalesce("dist", F.lit(0)).cast("long").alias("dist")), "known")
     every = F.expr("shiftleft(1L, n)") - 1
     is_first = (F.col("doc_id") == F.col("source_id")) & (F.col("start") == F.col("source_start"))
-    found = paths.drop("edges").join(known, ["mh", "ch"]).withColumn("flags", F.when(is_first, F.col("mask")).otherwise(every)).where("flags <> 0")
-    found = materialize(found.select("doc_id", "key", "start", "n", "mh", "ch", "flags", "source_id", "source_start", "source_key", (F.col("flags") == every).alias("whole")).dropDuplicates(["doc_id", "key", "start"]), "repeats")
+    found = paths.select("mh", "ch", "doc_id", "key", "start", "n").join(known, ["mh", "ch"]).withColumn("flags", F.when(is_first, F.col("mask")).otherwise(every)).where("flags <> 0")
+    found = found.select("doc_id", "key", "start", "n", "flags", "source_id", "source_start", "source_key", "head", "dist", (F.col("flags") == every).alias("whole"))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():  # rows of one id may be equal
+        found = found.dropDuplicates(["doc_id", "key", "start"])
+    found = materialize(found, "repeats")
     discard(paths, compact, branching, split, edges, earliest, masks, known)
-    spans = chained(found.where("whole"))
+    spans = materialize(on_chains(found.where("whole").drop("flags", "whole")), "chained")
     checks = digests(docs, spans, window)
     of_source = ["source_id", "source_key", "source_start", "n"]
     out = spans.join(checks, of_source).select("doc_id", "key", "start", "n", F.lit(None).cast("long").alias("flags"), "check")
@@ -197,36 +209,35 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return out
 
 
-def chained(found: DataFrame) -> DataFrame:
-    """Spans (doc_id, key, start, n, source_id, source_key, source_start) of occurrences of whole repeated paths."""
-    by_start = Window.partitionBy("doc_id", "key").orderBy("start")
-    node, end = F.struct("mh", "ch"), F.col("start") + F.col("n")
-    steps = found.withColumns({"next": F.when(F.lead("start").over(by_start) == end, F.lead(node).over(by_start)), "before": F.when(F.lag(end).over(by_start) == F.col("start"), F.lag(node).over(by_start))})
-    steps = materialize(steps, "steps")
-    # A path's only neighbour on each side, where every occurrence has that one.
-    only = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c)
-    degrees = materialize(steps.groupBy("mh", "ch").agg(F.max("n").cast("long").alias("n"), only("next"), only("before")), "degrees")
-    ahead = degrees.where("next is not null").select(F.col("mh").alias("h_mh"), F.col("ch").alias("h_ch"), F.col("n").alias("dist"), F.col("next.mh").alias("mh"), F.col("next.ch").alias("ch"))
-    behind = degrees.where("before is not null").select("mh", "ch", F.col("before.mh").alias("h_mh"), F.col("before.ch").alias("h_ch"))
-    heads = materialize(ahead.join(behind, ["mh", "ch", "h_mh", "h_ch"]).select("mh", "ch", "h_mh", "h_ch", "dist"), "heads")
-    while True:  # no chain is a circle: the last occurrence on one leaves it
-        on = heads.select(F.col("mh").alias("h_mh"), F.col("ch").alias("h_ch"), F.col("h_mh").alias("to_mh"), F.col("h_ch").alias("to_ch"), F.col("dist").alias("further"))
-        if not heads.join(on, ["h_mh", "h_ch"], "left_semi").limit(1).count():
-            break
-        moved = heads.join(on, ["h_mh", "h_ch"], "left").select("mh", "ch", F.coalesce("to_mh", "h_mh").alias("h_mh"), F.coalesce("to_ch", "h_ch").alias("h_ch"), (F.col("dist") + F.coalesce("further", F.lit(0))).alias("dist"))
+def chains(paths: DataFrame) -> DataFrame:
+    """pid, head, dist: of paths (pid, n, ahead, before) that continue another one, the head of their chain and the windows before them.
+
+    A path continues another where each is the other's only neighbour on that side."""
+    ahead = paths.where("ahead is not null").select(F.col("pid").alias("head"), F.col("n").cast("long").alias("dist"), F.col("ahead").alias("pid"))
+    behind = paths.where("before is not null").select("pid", F.col("before").alias("head"))
+    heads = materialize(ahead.join(behind, ["pid", "head"]).select("pid", "head", "dist"), "heads")
+    for _ in range(40):  # doubling: more than any text's length; no chain is a circle, for the last occurrence on one leaves it
+        on = heads.select(F.col("pid").alias("head"), F.col("head").alias("further"), F.col("dist").alias("more"))
+        moved = heads.join(on, "head", "left").select("pid", F.coalesce("further", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("further").isNotNull().alias("moved"))
         moved = materialize(moved, "heads")
         discard(heads)
         heads = moved
-    placed = steps.drop("next", "before").join(heads, ["mh", "ch"], "left")
-    dist = F.coalesce("dist", F.lit(0))
-    line = F.struct(F.coalesce("h_mh", "mh"), F.coalesce("h_ch", "ch"), F.col("start") - dist, "source_id", "source_key", F.col("source_start") - dist)
-    placed = placed.withColumn("line", line)
-    new = (F.lag(end).over(by_start) == F.col("start")) & (F.lag("line").over(by_start) == F.col("line"))
-    placed = placed.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("span", F.sum("new").over(by_start))
-    spans = placed.groupBy("doc_id", "key", "span").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("source_id").alias("source_id"), F.min("source_key").alias("source_key"), F.min("source_start").alias("source_start"))
-    spans = materialize(spans.drop("span"), "chained")
-    discard(steps, degrees, heads)
-    return spans
+        if not heads.where("moved").limit(1).count():
+            break
+    return heads.drop("moved")
+
+
+def on_chains(found: DataFrame) -> DataFrame:
+    """Spans (doc_id, key, start, n, source_id, source_key, source_start) of occurrences of whole repeated paths: those
+    of one chain that stand one behind the other, here and at their source."""
+    line = ["doc_id", "key", "head", "source_id", "source_key", "at", "source_at"]
+    found = found.withColumns({"at": F.col("start") - F.col("dist"), "source_at": F.col("source_start") - F.col("dist")})
+    groups = found.groupBy(*line).agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.max(F.col("start") + F.col("n")).alias("end"), F.min("source_start").alias("source_start"))
+    groups = materialize(groups, "lines")
+    columns = ["doc_id", "key", "start", "n", "source_id", "source_key", "source_start"]
+    broken = groups.where("end - start <> n")  # a path between them has another source
+    alone = found.join(broken.select(*line), line, "left_semi").select(*columns[:3], F.col("n").cast("long").alias("n"), *columns[4:])
+    return groups.where("end - start = n").select(*columns).unionByName(alone)
 
 
 def digest(words: list[bytes]) -> bytes:

@@ -84,12 +84,14 @@ class Encoder:
     encoded once.  A text that holds an added token's string goes to the tokenizer
     uncut, for such strings change what is a word beside them."""
 
-    #: Pieces, and their ids, that are remembered; pieces that are put together at a time.
-    PIECES, IDS, STEP = 1_200_000, 8_000_000, 1_000_000
+    #: Pieces that are put together at a time; ids remembered for each piece that is, on average.
+    STEP, IDS = 1_000_000, 7
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
+
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -125,7 +127,7 @@ class Encoder:
         """Ids of an Arrow array of pieces, and how many each has."""
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.numbers) > self.PIECES or len(self.pool) > self.IDS:
+        if len(self.numbers) > self.remembered or len(self.pool) > self.IDS * self.remembered:
             self.forget()
         if new := [p for p in distinct if p not in self.numbers]:
             self.learn(new)
@@ -162,13 +164,14 @@ class Encoder:
         return [whole[i] if i in whole else x for i, x in enumerate(np.split(ids, upto[:-1]))]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int) -> Encoder:
     """The encoder of a file; kept by the Python worker."""
     import sys
 
     kept = sys.__dict__.setdefault("_docweave_encoders", {})
     if path not in kept:
-        kept[path] = Encoder(path)
+        kept[path] = Encoder(path, remembered)
+    kept[path].remembered = remembered
     return kept[path]
 
 
@@ -232,7 +235,7 @@ class Packer:
             self.emit(self.take(min(1 << (self.load.bit_length() - 1), 1 << (self.capacity.bit_length() - 1))))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, piece: int = 256, windows: int = 256, slack: int = 12) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, piece: int = 256, windows: int = 256, slack: int = 12, remembered: int = 600_000, read: int = 1 << 22) -> DataFrame:
     """Packs the texts of docs (doc_id, text) into sequences of at most capacity tokens.
 
     One row per piece: doc_id, start (the document's ids before it), length,
@@ -245,13 +248,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     Windows of whole documents come first; remainders, cut into pieces of at most
     `piece`, are differenced in groups of `windows` windows that leave `slack` places free
     on average.  sequence_id is unique:
-    the task's number and a count within the task."""
+    the task's number and a count within the task.
+
+    `remembered` pieces of text keep their ids from one task to the next, and `read`
+    bytes of text are encoded together: about 290 MB of a worker's memory as given, about
+    100 MB with 150,000 and 1 MB, which takes two thirds more time for the same rows."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         p = Packer(TaskContext.get().partitionId() << 40, capacity, piece, windows, min(slack, capacity - 1))
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
@@ -262,7 +269,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
         for batch in batches:
             every, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for i, j in buffers(texts, 1 << 22):
+            for i, j in buffers(texts, read):
                 for doc_id, ids in zip(every[i:j], enc.encode(texts[i:j]), strict=True):
                     p.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"))
                     if len(p.rows) >= 20_000:
@@ -279,7 +286,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, **settings: int) -> DataFrame:
+    """pack by byte_bpe_50k.json."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), **settings)

@@ -17,17 +17,22 @@ from docweave.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored too; repeated rows have one fate; an empty table gives no rows."""
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that 5-word shingle sets of similarity 0.8 or more link, the smallest id stays."""
+    """Of each group of documents that 5-word shingle sets of similarity 0.8 or more link, the smallest id stays.
+
+    Null and empty texts and null ids have no links and stay; rows of one id stay or go
+    together; an empty table gives no rows."""
     return first_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of `benchmark` go."""
+    """Documents that hold a passage of `benchmark` go; null and empty texts hold none, repeated rows have one fate."""
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
@@ -37,8 +42,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, as op1_pack_sequences returns them."""
-    return pack_documents(docs)
+    """Pieces of token sequences, as op1_pack_sequences returns them; null and empty texts
+    are the end id alone, repeated rows are packed each, an empty table gives no rows.
+
+    The executors' memory is shared with the stages before, so less is remembered."""
+    return pack_documents(docs, remembered=150_000, read=1 << 20)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]

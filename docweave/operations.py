@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
@@ -13,6 +13,7 @@ from .functions.cel import CelError, compile_condition, filters_to_cel
 from .model import AlreadyExists, EngineError, Filter, IndexNotReady, InvalidQuery, NotFound, Order, PermissionDenied, PreconditionFailed, Query, Trigger
 from .operators import analytics, cdc, databases, delivery, query, rules, writes
 from .plans import indexes
+from .plans.ordered import numbered
 from .queries import CHANGED, FOLD, JOINED, LOG, NOW, ORDERS, OUTCOME, QUERIES, SQL, TRIGGERS, _changes, _requests, named
 from .sources import config, tables
 from .streaming import changes as streams
@@ -369,7 +370,7 @@ def order_key(spark, sf_dir):
     """Order by the bytes of index keys is order by the values."""
     c = tables.read(spark, sf_dir, "customer")
     key = indexes.order_key([(F.col("c_nationkey"), "number", "asc"), (F.col("c_acctbal"), "number", "desc"), (F.col("c_name"), "string", "asc")], F.col("c_custkey").cast("string"))
-    return c.select("c_custkey", F.row_number().over(Window.orderBy(key)).alias("place"))
+    return numbered(c.select("c_custkey", key.alias("key")), [], [F.col("key")], "place").select("c_custkey", F.col("place").cast("int"))
 
 
 # ------------------------------------------------------------ access, rules

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import buffer_key, event_id
+from ..plans.ordered import numbered, running
 
 OPS = ("insert", "update", "replace", "delete")
 GAP_MS = 5 * 60 * 1000
@@ -59,9 +60,9 @@ def coalesce(log: DataFrame, *extra_keys: str) -> DataFrame:
 
 def coalesce_batches(log: DataFrame, size: int = 100) -> DataFrame:
     """As coalesce, within batches of `size` events of each backend's order."""
-    w = Window.partitionBy("backend").orderBy("t", "i")
-    numbered = log.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
-    return coalesce(numbered.withColumn("source", F.col("backend")), "batch", "source").drop("source")
+    placed = numbered(log, ["backend"], [F.col("t"), F.col("i")], "batch")
+    placed = placed.withColumns({"batch": F.floor((F.col("batch") - 1) / size).cast("long"), "source": F.col("backend")})
+    return coalesce(placed, "batch", "source").drop("source")
 
 
 def replay(log: DataFrame, marker: dict[str, tuple[int, int]], coalesced: bool = False) -> DataFrame:
@@ -102,15 +103,14 @@ def typed(log: DataFrame, soft_deleted: Column, was_deleted: Column | None = Non
 
 def gaps(log: DataFrame, threshold_ms: int = GAP_MS) -> DataFrame:
     """Events that come threshold_ms or more after the one before, by backend."""
-    w = Window.partitionBy("backend").orderBy("t", "i")
-    return log.withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(w)).where(F.col("gap_ms") >= threshold_ms)
+    found = running(log, ["backend"], [F.col("t"), F.col("i")], "_before", F.col("ts_ms"), "last", before=True)
+    return found.withColumn("gap_ms", F.col("ts_ms") - F.col("_before")).where(F.col("gap_ms") >= threshold_ms).drop("_before")
 
 
 def unseen(log: DataFrame) -> DataFrame:
     """Events newer than every event that arrived before them, by backend."""
-    w = Window.partitionBy("backend").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(F.struct("t", "i")).over(w)
-    return log.where(F.lit(True)).withColumn("_seen", seen).where(F.col("_seen").isNull() | (F.struct("t", "i") > F.col("_seen"))).drop("_seen")
+    found = running(log, ["backend"], [F.col("arrival")], "_seen", F.struct("t", "i"), "max", before=True)
+    return found.where(F.col("_seen").isNull() | (F.struct("t", "i") > F.col("_seen"))).drop("_seen")
 
 
 def retained(log: DataFrame, now_ms: int, keep_ms: int = RETENTION_MS) -> DataFrame:
@@ -119,8 +119,7 @@ def retained(log: DataFrame, now_ms: int, keep_ms: int = RETENTION_MS) -> DataFr
 
 def retained_size(log: DataFrame, size: Column, most: int) -> DataFrame:
     """The newest events of each backend whose sizes stay within `most` together."""
-    w = Window.partitionBy("backend").orderBy(F.desc("t"), F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("kept_size", F.sum(size).over(w)).where(F.col("kept_size") <= most)
+    return running(log, ["backend"], [F.col("t"), F.col("i")], "kept_size", size, reverse=True).where(F.col("kept_size") <= most)
 
 
 def health(statuses: DataFrame) -> DataFrame:

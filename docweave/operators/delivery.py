@@ -5,9 +5,11 @@ Transport is left to the caller; each operator gives the rows that would be sent
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import running
+
 SEND_TIMEOUT_MS = 5000
 #: Offset basis and prime of the 32-bit FNV-1a hash.
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
@@ -107,8 +109,8 @@ def timely(deliveries: DataFrame, limit_ms: int = SEND_TIMEOUT_MS) -> DataFrame:
 
 def heartbeats(log: DataFrame, every_ms: int) -> DataFrame:
     """Progress without a change: backend, at_ms and the place (t, i) of the last event, for every `every_ms` of silence behind it."""
-    w = Window.partitionBy("backend").orderBy("t", "i")
-    found = log.select("backend", "t", "i", "ts_ms", F.lead("ts_ms").over(w).alias("next_ms")).where(F.col("next_ms") - F.col("ts_ms") > every_ms)
+    found = running(log.select("backend", "t", "i", "ts_ms"), ["backend"], [F.col("t"), F.col("i")], "next_ms", F.col("ts_ms"), "last", before=True, reverse=True)
+    found = found.where(F.col("next_ms") - F.col("ts_ms") > every_ms)
     beats = F.sequence(F.col("ts_ms") + every_ms, F.col("next_ms") - 1, F.lit(every_ms).cast("long"))
     return found.select("backend", "t", "i", F.explode(beats).alias("at_ms"))
 

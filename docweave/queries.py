@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from .functions.fields import Fields
 from .model import Filter, Order, Query, Retry, Trigger, encode_cursor
 from .operators import analytics, cdc, query, rules, writes
 from .plans import indexes
+from .plans.ordered import numbered
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,8 +191,8 @@ def sortkey_mixed(spark, sf_dir):
     docs = tables.documents(e, F.lit("mixed"), F.col("event_id").cast("string"), F.parse_json(F.concat(F.lit('{"v":'), value, F.lit("}"))))
     keys = [k.alias(f"k{i}") for i, k in enumerate(Fields(docs).sort_keys("v"))]
     found = docs.select("doc_id", *keys)
-    w = Window.orderBy(*[F.col(f"k{i}").asc_nulls_first() for i in range(len(keys))], "doc_id")
-    return found.select("doc_id", F.row_number().over(w).alias("place"))
+    order = [F.col(f"k{i}") for i in range(len(keys))]
+    return numbered(found, [], [*order, F.col("doc_id")], "place").select("doc_id", F.col("place").cast("int"))
 
 
 named(f"SELECT doc_id, total, version FROM {ORDERS} WHERE NOT deleted AND status = 'F' AND total > 100000 AND total <= 200000 ORDER BY total DESC, doc_id LIMIT 200", "index_range_desc")(orders_query(Filter("status", "==", "F"), Filter("total", ">", 100000), Filter("total", "<=", 200000), order=(Order("total", "desc"),), limit=200))
@@ -322,7 +323,7 @@ def event_id(spark, sf_dir):
 def merge_order(spark, sf_dir):
     log = tables.change_log(spark, sf_dir)
     both = cdc.merged(log.where("backend = 'b0'"), log.where("backend = 'b1'"))
-    return both.select("backend", "t", "i", F.row_number().over(Window.orderBy("t", "i", "backend")).alias("place"))
+    return numbered(both.select("backend", "t", "i"), [], [F.col("t"), F.col("i"), F.col("backend")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 FOLD = "list_reduce(list({{'op': op, 'value': value, 'i': i, 'none': FALSE}} ORDER BY t, i), lambda a, e: CASE WHEN a.none THEN e WHEN a.op = 'insert' AND e.op = 'delete' THEN {{'op': e.op, 'value': e.value, 'i': e.i, 'none': TRUE}} WHEN a.op = 'insert' AND e.op IN ('update', 'replace') THEN {{'op': 'insert', 'value': e.value, 'i': e.i, 'none': FALSE}} ELSE e END)".format()

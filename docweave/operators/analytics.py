@@ -150,18 +150,28 @@ def islands(rows: DataFrame, by: list[str], start: str, end: str, join_within: i
 def token_bucket(requests: DataFrame, key: str, ts: str, capacity: float, per_ms: float) -> DataFrame:
     """Requests in order of time with whether a bucket of `capacity` tokens, refilled at per_ms, lets them pass.
 
-    One key's requests are folded in one row: bounded by what one client sends."""
-    lists = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col("event_id").alias("id")))).alias("r"))
-    done = "array<struct<id:bigint,ts:bigint,allowed:boolean>>"
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("bigint").alias("at"), F.array().cast(done).alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        tokens = F.least(F.lit(float(capacity)), a["tokens"] + F.coalesce(r["ts"] - a["at"], F.lit(0)) * F.lit(per_ms))
-        ok = tokens >= 1
-        row = F.struct(r["id"].alias("id"), r["ts"].alias("ts"), ok.alias("allowed"))
-        return F.struct((tokens - ok.cast("double")).alias("tokens"), r["ts"].alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    return lists.select(key, F.explode(F.aggregate("r", start, step)["out"]).alias("x")).select(key, "x.*")
+    A key's requests follow one another through one task, which keeps its tokens and no
+    more; a request without a time adds none."""
+    rows = requests.select(F.col(key).alias("key"), F.col("event_id").cast("long").alias("id"), F.col(ts).cast("long").alias("ts"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "ts", "id")
+
+    def let(batches):
+        import pyarrow as pa
+
+        began, now, tokens, at = False, None, 0.0, None
+        for batch in batches:
+            passed = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not began or k != now:
+                    began, now, tokens, at = True, k, float(capacity), None
+                tokens = min(float(capacity), tokens + (0 if t is None or at is None else t - at) * per_ms)
+                at, ok = t, tokens >= 1
+                tokens -= ok
+                passed.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passed, pa.bool_())], names=["key", "id", "ts", "allowed"])
+
+    kind = requests.schema[key].dataType.simpleString()
+    return rows.mapInArrow(let, f"key {kind}, id long, ts long, allowed boolean").withColumnRenamed("key", key)
 
 
 # ----------------------------------------------------------------- metadata

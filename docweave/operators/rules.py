@@ -1,8 +1,8 @@
 """Subscriptions, triggers and access rules: events against conditions.
 
-Rules are few and known to the driver; events are the data.  Each condition compiles
-to a Column, so all rules are evaluated in one pass without a join; only rules that are
-plain keys (one document, one collection) and come as a table are equi-joined.
+Rules are known to the driver; events are the data.  Each condition compiles to a
+Column.  Triggers and access rules are few and evaluated in one pass without a join;
+subscriptions, of which there may be many, are equi-joined by the keys that an event has.
 """
 
 from __future__ import annotations
@@ -39,22 +39,47 @@ class Subscription:
         return "expression"
 
 
+#: Conditions that one pass over the events evaluates; more take further passes.
+CONDITIONS = 500
+#: Subscriptions whose text is longer than this, in characters, are shuffled, not broadcast.
+BROADCAST = 8 << 20
+
+
 def match(events: DataFrame, subscriptions: Iterable[Subscription]) -> DataFrame:
-    """A row per event and subscription that matches: the event's columns, gateway, subscription_id, include_data."""
-    fields = Fields(events)
-    tests = []
+    """A row per event and subscription that matches: the event's columns, gateway, subscription_id, include_data.
+
+    An event has the keys of its document, of its collection and of the conditions that hold
+    for it, and these are equi-joined with the subscriptions; so only different sets of
+    filters weigh on the plan, tested where their collection is the event's, not subscriptions."""
+    fields, kinds, numbers, rows = Fields(events), set(), {}, []
     for s in subscriptions:
-        hit = (F.col("database") == s.database) & (F.col("collection") == s.collection)
-        if s.kind() == "document":
-            hit = hit & (F.col("doc_id") == str(s.filters[0].value))
-        elif s.filters:
-            hit = hit & fields.all(s.filters)
-        tests.append(F.when(hit, F.struct(F.lit(s.gateway).alias("gateway"), F.lit(s.id).alias("subscription_id"), F.lit(s.include_data).alias("include_data"))))
-    if not tests:
-        none = F.lit(None).cast("string")
-        return events.select("*", none.alias("gateway"), none.alias("subscription_id"), F.lit(True).alias("include_data")).limit(0)
-    found = events.withColumn("_m", F.explode(F.array_compact(F.array(*tests))))
-    return found.select(*[F.col(c) for c in events.columns], "_m.*")
+        kind = s.kind()
+        kinds.add(kind)
+        if kind == "expression":
+            key = f"n{numbers.setdefault((s.database, s.collection, repr(s.filters)), (len(numbers), s.filters))[0]}"
+        else:
+            key = f"d{s.filters[0].value}" if kind == "document" else "c"
+        rows.append((s.database, s.collection, key, s.gateway, s.id, s.include_data))
+    table = events.sparkSession.createDataFrame(rows, "_database string, _collection string, _of string, gateway string, subscription_id string, include_data boolean")
+    if sum(len(str(x)) for row in rows for x in row) <= BROADCAST:
+        table = F.broadcast(table)
+
+    plain = [k for kind, k in (("document", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), ("collection", F.lit("c"))) if kind in kinds]
+    every = sorted(numbers.items(), key=lambda x: x[0])
+    passes = [every[i : i + CONDITIONS] for i in range(0, len(every), CONDITIONS)] or [[]]
+    out = None
+    for i, part in enumerate(passes):
+        scopes: dict[tuple[str, str], list[Column]] = {}
+        for (database, collection, _), (n, filters) in part:
+            scopes.setdefault((database, collection), []).append(F.when(fields.all(filters), F.lit(f"n{n}")))
+        held = F.array().cast("array<string>")
+        for (database, collection), tests in scopes.items():
+            held = F.when((F.col("database") == database) & (F.col("collection") == collection), F.array(*tests)).otherwise(held)
+        keyed = events.withColumn("_key", F.explode(F.concat(F.array(*plain), held) if plain and not i else held)).where("_key is not null")
+        same = (F.col("database") == F.col("_database")) & (F.col("collection") == F.col("_collection")) & (F.col("_key") == F.col("_of"))
+        found = keyed.join(table, same).select(*[F.col(c) for c in events.columns], "gateway", "subscription_id", "include_data")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def match_keys(events: DataFrame, keys: DataFrame) -> DataFrame:

@@ -174,3 +174,44 @@ def test_parsed_expressions_are_kept():
     cel.parsed.cache_clear()
     a, b = cel.parsed("doc.x > 1"), cel.parsed("doc.x > 1")
     assert a is b and cel.parsed.cache_info().hits == 1
+
+
+def test_many_subscriptions(spark, monkeypatch):
+    """Thousands of subscriptions of all kinds, several passes of conditions, against a plain loop."""
+    monkeypatch.setattr(rules, "CONDITIONS", 50)
+    events = spark.createDataFrame([("default" if i % 7 else "other", f"c{i % 3}", str(i), (i * 37 % 50,)) for i in range(60)], "database string, collection string, doc_id string, data struct<x:long>")
+    subs = [rules.Subscription(f"d{i}", f"g{i % 5}", f"c{i % 4}", (Filter("id", "==", str(i % 90)),)) for i in range(2000)]
+    subs += [rules.Subscription(f"a{i}", "g", f"c{i}", database="other", include_data=False) for i in range(4)]
+    subs += [rules.Subscription(f"x{i}", "g", f"c{i % 4}", (Filter("x", ">", i % 90),)) for i in range(1500)]
+    assert len({(s.collection, s.filters) for s in subs if s.kind() == "expression"}) > 2 * rules.CONDITIONS
+
+    def hits(s, e):
+        if (s.database, s.collection) != (e.database, e.collection):
+            return False
+        return s.kind() == "collection" or (e.doc_id == s.filters[0].value if s.kind() == "document" else e.data.x > s.filters[0].value)
+
+    want = sorted((e.doc_id, s.gateway, s.id, s.include_data) for e in events.collect() for s in subs if hits(s, e))
+    found = rules.match(events, subs)
+    assert found.columns == [*events.columns, "gateway", "subscription_id", "include_data"]
+    assert sorted(tuple(r) for r in found.select("doc_id", "gateway", "subscription_id", "include_data").collect()) == want and want
+    monkeypatch.setattr(rules, "BROADCAST", 0)
+    assert rules.match(events, subs[:2004]).count() == sum(s.kind() != "expression" and hits(s, e) for e in events.collect() for s in subs)
+    assert rules.match(events, []).count() == 0 and rules.match(events.limit(0), subs[:3]).count() == 0
+
+
+def test_token_bucket_of_one_client(spark):
+    """A client with most requests, one without a name, and requests without a time."""
+    from docweave.operators import analytics
+
+    rows = [("hot" if i % 4 else None, i, i * 10 if i % 9 else None) for i in range(20_000)]
+    found = analytics.token_bucket(spark.createDataFrame(rows, "k string, event_id long, at long"), "k", "at", 2.0, 0.05)
+    got = {r.id: r.allowed for r in found.collect()}
+    assert found.columns == ["k", "id", "ts", "allowed"]
+    want = {}
+    for k in ("hot", None):
+        tokens, at = 2.0, None
+        for _, i, t in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
+            tokens = min(2.0, tokens + (0 if t is None or at is None else t - at) * 0.05)
+            at, want[i] = t, tokens >= 1
+            tokens -= want[i]
+    assert got == want and 0 < sum(got.values()) < len(rows)

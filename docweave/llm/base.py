@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Texts are hashed in buffers of about this many bytes (a longer text alone).
 BUFFER_BYTES = 1 << 18
+#: Within `small_batches`, Python gets batches of about this many bytes (a larger row alone).
+BATCH_BYTES = 1 << 21
 
 
 # ---------------------------------------------------------------- storage
@@ -60,6 +63,20 @@ def discard(*frames: DataFrame) -> None:
             place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs within hands rows to Python in batches of about size bytes instead of 10,000 rows.
+
+    A batch stands in the executor's buffers and in the worker at once, for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

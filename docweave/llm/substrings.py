@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Powers, WordHasher, bitmap, buffers, discard, materialize, mix, read_table, signed, space_words, span_hashes, utf8
+from .base import Powers, WordHasher, bitmap, buffers, discard, materialize, mix, read_table, signed, small_batches, space_words, span_hashes, utf8
 
 WINDOW = 20
 SEED_WORDS = 8
@@ -320,6 +320,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return removed(docs, window, column, of)
+
+
+def removed(docs: DataFrame, window: int, column: str, of) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     found = repeats(rows.where("doc_id is not null and text is not null"), window)
     lists = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "flags", "check")).alias("spans"))
@@ -363,7 +368,9 @@ def finish(docs: DataFrame, window: int, column: str, of) -> DataFrame:
     placed = rows.withColumn("p", place)
     same = (F.col("doc_id") == F.col("r_id")) & (F.col("key") == F.col("r_key"))
     joined = placed.mapInArrow(to_join, "doc_id long, key long, text string").join(lists, same, "left").select("doc_id", "text", "spans")
-    return placed.mapInArrow(alone, result).unionByName(joined.mapInArrow(cut, result))
+    out = materialize(placed.mapInArrow(alone, result).unionByName(joined.mapInArrow(cut, result)), "kept")
+    discard(lists)
+    return out
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

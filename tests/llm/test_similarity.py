@@ -122,6 +122,26 @@ def test_awkward_repeats(spark, awkward, nothing):
     assert substrings.without_repeats(nothing).count() == 0
 
 
+def test_repeats_take_texts_in_small_batches(spark, monkeypatch):
+    r = random.Random(9)
+    passage = words(r, 400, 90_000)
+    rows = [(i, words(r, 1200, 90_000) + (" " + passage if i % 50 == 0 else "")) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = substrings.utf8
+
+    def within(column):
+        assert column.nbytes < 3 << 20, "a batch holds far more than 2 MB"
+        return whole(column)
+
+    monkeypatch.setattr(substrings, "utf8", within)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    assert sum(len(t) for _, t in rows) > 3 << 20
+    found = substrings.finish(docs, 20, "h string", lambda b: hashlib.sha256(b).hexdigest())
+    assert spark.conf.get(name) == before
+    assert sorted((tuple(x) for x in found.collect()), key=repr) == plain_removal(rows, 20)
+
+
 def test_benchmark_passages(spark, awkward, nothing):
     r = random.Random(6)
     items = [(i, words(r, n, 5000)) for i, n in enumerate((6, 15, 30, 60, 3))] + [(9, None)]
